@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardlight.llm import media
+from wardlight.llm import media, pieces
 from wardlight.sources.tables import table
 
 
@@ -12,8 +14,19 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op2_piece_round_trip(spark: SparkSession, sf_dir: str, model_path: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
+    rows = pieces.encode_documents(table(spark, sf_dir, "documents"), model_path, with_text=True)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
+    "op2_piece_round_trip": op2_piece_round_trip,
 }
 
 SQL: dict[str, str] = {}
