@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import media, pieces
+from wardlight.llm import media, pieces, simhash
 from wardlight.sources.tables import table
 
 
@@ -24,8 +24,14 @@ def op2_piece_round_trip(spark: SparkSession, sf_dir: str, model_path: str = pub
     )
 
 
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
+    "op3_simhash_groups": op3_simhash_groups,
     "op2_piece_round_trip": op2_piece_round_trip,
 }
 
