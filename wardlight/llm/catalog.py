@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import media, pieces, simhash
+from wardlight.llm import media, mixing, pieces, simhash
 from wardlight.sources.tables import table
 
 
@@ -29,10 +29,16 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
     "op3_simhash_groups": op3_simhash_groups,
     "op2_piece_round_trip": op2_piece_round_trip,
+    "op7_mix_sources": op7_mix_sources,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_mix_sources": mixing.ORACLE_SQL}
