@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import media, mixing, pieces, simhash
+from wardlight.llm import media, mixing, pieces, secrets, simhash
 from wardlight.sources.tables import table
 
 
@@ -34,11 +34,16 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.counted(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
     "op3_simhash_groups": op3_simhash_groups,
     "op2_piece_round_trip": op2_piece_round_trip,
     "op7_mix_sources": op7_mix_sources,
+    "op9_secret_ownership": op9_secret_ownership,
 }
 
 SQL: dict[str, str] = {"op7_mix_sources": mixing.ORACLE_SQL}
