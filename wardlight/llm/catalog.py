@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import media, mixing, pieces, secrets, simhash
+from wardlight.llm import licences, media, mixing, pieces, secrets, simhash
 from wardlight.sources.tables import table
 
 
@@ -38,11 +38,16 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.counted(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.summary(licences.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
     "op3_simhash_groups": op3_simhash_groups,
     "op2_piece_round_trip": op2_piece_round_trip,
     "op7_mix_sources": op7_mix_sources,
+    "op10_licence_index": op10_licence_index,
     "op9_secret_ownership": op9_secret_ownership,
 }
 
