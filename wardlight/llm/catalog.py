@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import licences, media, mixing, pieces, secrets, simhash
+from wardlight.llm import langid, licences, media, mixing, pieces, secrets, simhash
 from wardlight.sources.tables import table
 
 
@@ -42,10 +42,17 @@ def op10_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.summary(licences.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", (langid.fold("doc_id") == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
     "op3_simhash_groups": op3_simhash_groups,
     "op2_piece_round_trip": op2_piece_round_trip,
+    "op5_word_languages": op5_word_languages,
     "op7_mix_sources": op7_mix_sources,
     "op10_licence_index": op10_licence_index,
     "op9_secret_ownership": op9_secret_ownership,
