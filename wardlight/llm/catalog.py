@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import langid, licences, media, mixing, pieces, secrets, simhash
+from wardlight.llm import langid, licences, media, mixing, neighbours, pieces, secrets, simhash
 from wardlight.sources.tables import table
 
 
@@ -48,10 +48,15 @@ def op5_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold("doc_id") == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_permutation_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
     "op3_simhash_groups": op3_simhash_groups,
     "op2_piece_round_trip": op2_piece_round_trip,
+    "op4_permutation_neighbours": op4_permutation_neighbours,
     "op5_word_languages": op5_word_languages,
     "op7_mix_sources": op7_mix_sources,
     "op10_licence_index": op10_licence_index,
