@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import langid, licences, media, mixing, neighbours, pieces, secrets, simhash
+from wardlight.llm import langid, licences, media, mixing, neighbours, pages, pieces, secrets, simhash
 from wardlight.sources.tables import table
 
 
@@ -52,12 +52,18 @@ def op4_permutation_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
     "op3_simhash_groups": op3_simhash_groups,
     "op2_piece_round_trip": op2_piece_round_trip,
     "op4_permutation_neighbours": op4_permutation_neighbours,
     "op5_word_languages": op5_word_languages,
+    "op6_main_text": op6_main_text,
     "op7_mix_sources": op7_mix_sources,
     "op10_licence_index": op10_licence_index,
     "op9_secret_ownership": op9_secret_ownership,
