@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import langid, licences, media, mixing, neighbours, pages, pieces, secrets, simhash
+from wardlight.llm import langid, licences, media, mixing, neighbours, pages, pieces, secrets, simhash, toxicity
 from wardlight.sources.tables import table
 
 
@@ -57,6 +57,12 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (langid.fold("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
     "op3_simhash_groups": op3_simhash_groups,
@@ -66,6 +72,7 @@ QUERIES = {
     "op6_main_text": op6_main_text,
     "op7_mix_sources": op7_mix_sources,
     "op10_licence_index": op10_licence_index,
+    "op8_toxicity": op8_toxicity,
     "op9_secret_ownership": op9_secret_ownership,
 }
 

@@ -50,7 +50,7 @@ MARKS = frozenset(
     "share sharing social related recommended widget pagination pager toolbar skip".split()
 )
 
-TOKEN = re.compile(r"""<!--(?:.*?)-->|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+TOKEN = re.compile(r"""<!--(?:.*?)-->|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|<[!?][^>]*>""", re.S)
 MARKED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
