@@ -203,8 +203,10 @@ def fold(id_col: str) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows: int = 600, steps: int = 40) -> Crf | None:
     """A model of the rows of folds 0, 1 and 3 with a label; at most ``per_language`` rows and ``windows`` windows a language."""
     learn = docs.where((fold(id_col) != 2) & F.col(lang_col).isNotNull())
-    rank = F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(F.lit("langid"), F.col(id_col)), id_col))
-    ids = [r[0] for r in learn.select(id_col, lang_col, rank.alias("n")).where(F.col("n") <= per_language).select(id_col).collect()]
+    drawn = learn.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit("langid"), F.col(id_col)).alias("h"))
+    for key in (["lang", F.pmod("h", F.lit(256))], ["lang"]):  # the least of 256 parts of a language, then the least of those
+        drawn = drawn.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("h", "id"))).where(F.col("n") <= per_language)
+    ids = [r.id for r in drawn.select("id").collect()]
     rows = learn.where(F.col(id_col).isin(ids)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,6 +86,8 @@ class Classifier:
         return found
 
     def score(self, text: str | None) -> float:
+        if self.bias == -np.inf:
+            return 0.0
         ids = self.ids(words_of(text))
         logit = self.bias + (float(self.weights[sorted(ids)].sum()) if ids else 0.0)
         return float(1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500))))
