@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from wardlight.plans import snapshots  # noqa: F401
+from wardlight.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
