@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.plans import readings, snapshots  # noqa: F401
+from wardlight.plans import evidence, readings, snapshots  # noqa: F401
 from wardlight.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
