@@ -28,6 +28,17 @@ SIGNALS = (
 )
 
 
+def _spot(hits: Column, between: Column):
+    """A function of a match's number to its position (from 1) and size."""
+
+    def at(k: Column) -> Column:
+        skipped = F.aggregate(F.slice(between, F.lit(1), k + 1), F.lit(1), lambda a, x: a + x)
+        matched = F.aggregate(F.slice(hits, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
+        return F.struct((skipped + matched).alias("pos"), F.length(F.get(hits, k)).alias("size"))
+
+    return at
+
+
 def term_hits(pages: DataFrame, terms: Sequence[Term], near: int = 45, around: int = 130) -> DataFrame:
     """Hits of each term in each page whose ``near`` characters on both sides don't match its negative pattern.
 
@@ -39,20 +50,15 @@ def term_hits(pages: DataFrame, terms: Sequence[Term], near: int = 45, around: i
         pattern = f"(?i){t.positive}"
         hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         between = F.transform(F.split("text", pattern, -1), F.length)
-        spots = F.transform(
-            F.sequence(F.lit(0), F.size(hits) - 1),
-            lambda k, between=between, hits=hits: F.struct(
-                (F.aggregate(F.slice(between, 1, k + 1), F.lit(1), lambda a, x: a + x) + F.aggregate(F.slice(hits, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))).alias("at"), F.length(F.get(hits, k)).alias("size")
-            ),
-        )
+        spots = F.transform(F.sequence(F.lit(0), F.size(hits) - 1), _spot(hits, between))
         rows = pages.where(F.col("text").rlike(pattern)).select("doc", "page", "text", F.explode(spots).alias("s")).select("doc", "page", "text", "s.*")
         if t.negative:
-            start = F.greatest(F.col("at") - near, F.lit(1))
-            window = F.substring("text", start, F.col("size") + near + (F.col("at") - start))
+            start = F.greatest(F.col("pos") - near, F.lit(1))
+            window = F.substring("text", start, F.col("size") + near + (F.col("pos") - start))
             rows = rows.where(~window.rlike(f"(?i){t.negative}"))
-        rows = rows.select("doc", "page", F.lit(t.label).alias("label"), "at", S.snippet("text", F.col("at"), F.col("size"), around).alias("snippet"))
+        rows = rows.select("doc", "page", F.lit(t.label).alias("label"), "pos", S.snippet("text", F.col("pos"), F.col("size"), around).alias("snippet"))
         found = rows if found is None else found.unionByName(rows)
-    first = F.row_number().over(W.partitionBy("doc", "label", F.lower(F.left("snippet", F.lit(70)))).orderBy("page", "at"))
+    first = F.row_number().over(W.partitionBy("doc", "label", F.lower(F.left("snippet", F.lit(70)))).orderBy("page", "pos"))
     return found.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
