@@ -161,4 +161,4 @@ def silent(df: DataFrame, asof: str, days: int) -> DataFrame:
 
 def to_alert_once(stale: DataFrame, marks: DataFrame) -> DataFrame:
     """Stale stations without a mark for their present newest reading."""
-    return stale.where("stale").join(marks.select("station", F.col("as_of").alias("_a")), (F.col("station") == marks["station"]) & (F.col("as_of") == F.col("_a")), "left_anti")
+    return stale.where("stale").join(marks.select("station", "as_of"), ["station", "as_of"], "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from wardlight.functions import scalars as S
 
 NUMBERS = ("ch4", "co2", "o2", "balance", "init_temp", "adj_temp", "init_pressure", "adj_pressure", "system_pressure")
-WELL = r"^[A-Z]{2,6}[A-Z0-9-]*\d[A-Z0-9-]*\*?$"
+WELL = r"^[A-Z]{1,6}[A-Z0-9-]*\d[A-Z0-9-]*\*?$"
 STAMP = r"^\d{1,2}/\d{1,2}/\d{4}(?: \d{1,2}:\d{2}(?::\d{2})?(?: [AP]M)?)?$"
 NUMBER = r"^(?:<<)?[-+]?\d+(?:\.\d+)?$"
 
