@@ -76,4 +76,4 @@ QUERIES = {
     "op9_secret_ownership": op9_secret_ownership,
 }
 
-SQL: dict[str, str] = {"op7_mix_sources": mixing.ORACLE_SQL}
+SQL: dict[str, str] = {"op7_mix_sources": mixing.ORACLE_SQL, "op9_secret_ownership": secrets.ORACLE_SQL}

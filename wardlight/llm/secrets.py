@@ -143,3 +143,23 @@ def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(owner_col).eqNullSafe(F.col("_owner")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key"))
     text = F.when(F.col("_key").isNotNull(), masked(F.col(text_col), F.col("_live"))).otherwise(F.col(text_col))
     return docs.join(found, same, "left").withColumn(text_col, text).select(*docs.columns)
+
+
+def _kind_sql(kind: int, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    value = f"regexp_extract(hits[k + 1], '{quoted}', 2)" if kind == 0 else "hits[k + 1]"
+    return f"""SELECT doc_id, source, {kind} AS kind, CAST(list_sum(gaps[1:k + 1]) + coalesce(list_sum(list_transform(hits[1:k], lambda x: length(x))), 0) AS INT) AS start, length(hits[k + 1]) AS size, {value} AS value
+  FROM (SELECT *, unnest(range(len(hits))) AS k FROM (SELECT doc_id, source, regexp_extract_all(t, '{quoted}') AS hits, list_transform(string_split_regex(t, '{quoted}'), lambda x: length(x)) AS gaps FROM d) WHERE len(hits) > 0)"""
+
+
+#: The query's rows in DuckDB SQL, for tables in which ids don't repeat.
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+raw AS ({" UNION ALL ".join(_kind_sql(k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, VENDOR)))}),
+spans AS (SELECT doc_id, source, kind, start, start + size AS stop, sha256(value) AS digest, len(list_distinct(string_split(value, ''))) >= 8 AS varied FROM raw WHERE kind > 0 OR length(value) >= 8),
+own AS (SELECT digest, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || '|' || doc_id) AS repositories FROM spans GROUP BY digest),
+judged AS (SELECT s.*, varied AND owners <= 1 AND repositories <= 10 AS live, owners > 1 AS copied, ['assign', 'access', 'hex', 'vendor'][kind + 1] || ':' || start || ':' || stop AS shown FROM spans s JOIN own o ON s.digest = o.digest),
+sums AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  coalesce(string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(shown, ',' ORDER BY start, kind) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
+  FROM judged WHERE kind < 3 OR live GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN sums s ON d.doc_id = s.doc_id"""
