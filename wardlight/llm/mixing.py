@@ -23,9 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wardlight.sources.tables import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 JUNK = r"[0-9#$%&*@!|<>{}\\]"
 WEIGHTS = (5, 2, 1)
+#: Sources up to which their table (a row each) is broadcast.
+FEW = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -39,18 +43,18 @@ def text_quality(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """``source``, ``source_size`` and ``rows`` with the ``target`` of each source."""
-    order = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    table = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (order % len(weights)).cast("int") + 1).cast("double"))
+    """``source``, its place in order ``nth``, ``source_size`` and ``rows``, with the ``target`` of each source."""
+    table = sizes.withColumn("nth", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
+    table = table.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights)).cast("int") + 1).cast("double"))
     cap = (most * F.col("source_size")).cast("double")
     table = table.withColumn("cap", cap).withColumn("ratio", F.col("cap") / F.col("weight"))
-    whole = W.orderBy("ratio", F.col("source").asc_nulls_last())
+    whole = W.orderBy("ratio", "nth")
     before = whole.rowsBetween(W.unboundedPreceding, -1)
     rest = whole.rowsBetween(0, W.unboundedFollowing)
     words = F.sum("source_size").over(W.partitionBy()).cast("double")
     level = (words - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     table = table.withColumn("level", level).withColumn("level", F.max("level").over(W.partitionBy()))
-    return table.select("source", "source_size", "rows", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
+    return table.select("source", "nth", "source_size", "rows", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: int = 17, per_bucket: int = 2048) -> DataFrame:
@@ -67,17 +71,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (-F.log(u) / quality).alias("_key"),
     )
     sizes = base.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    plan = targets(sizes.withColumnRenamed("_source", "source")).withColumnRenamed("source", "_of")
+    plan = written(targets(sizes.withColumnRenamed("_source", "source")).select(F.col("source").alias("_of"), F.col("nth").alias("_nth"), "source_size", "rows", "target"), "mix-plan")
+    if plan.count() <= FEW:
+        plan = F.broadcast(plan)  # else a join by source, which adaptive execution splits
     buckets = F.ceil(F.col("rows") / per_bucket).cast("long")
     spot = F.least(buckets - 1, F.floor(buckets * (1.0 - F.exp(-F.col("_key")))))
     placed = base.join(plan, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_bucket", spot.cast("long"))
 
-    in_source = W.partitionBy("_of").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = placed.groupBy("_of", "_bucket").agg(F.sum("size").alias("_words"))
-    offsets = totals.select(F.col("_of").alias("_at"), F.col("_bucket").alias("_nth"), F.coalesce(F.sum("_words").over(in_source), F.lit(0)).alias("_before"))
-    rows = placed.join(offsets, F.col("_of").eqNullSafe(F.col("_at")) & (F.col("_bucket") == F.col("_nth")))
+    in_source = W.partitionBy("_nth").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("_nth", "_bucket").agg(F.sum("size").alias("_words"))
+    offsets = totals.select("_nth", "_bucket", F.coalesce(F.sum("_words").over(in_source), F.lit(0)).alias("_before"))
+    # documents move once: the join and the window share the partitioning by source number and bucket
+    rows = placed.join(offsets, ["_nth", "_bucket"])
 
-    within = W.partitionBy("_at", "_nth").orderBy("_key", id_col, "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("_nth", "_bucket").orderBy("_key", id_col, "size").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     left = F.col("target") - epochs * F.col("source_size")
