@@ -140,9 +140,11 @@ def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     live = F.filter("spans", lambda s: s["live"])
     found = scan(docs, id_col, text_col, owner_col).select(F.col(id_col).alias("_id"), F.col("owner").alias("_owner"), F.col("text_key").alias("_key"), live.alias("_live"))
     found = found.where(F.size("_live") > 0).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(owner_col).eqNullSafe(F.col("_owner")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key"))
-    text = F.when(F.col("_key").isNotNull(), masked(F.col(text_col), F.col("_live"))).otherwise(F.col(text_col))
-    return docs.join(found, same, "left").withColumn(text_col, text).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"))  # so that no column of theirs clashes
+    number, owner, text = (F.col("_row")[c] for c in (id_col, owner_col, text_col))
+    same = number.eqNullSafe(F.col("_id")) & owner.eqNullSafe(F.col("_owner")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
+    shown = F.when(F.col("_key").isNotNull(), masked(text, F.col("_live"))).otherwise(text)
+    return rows.join(found, same, "left").select(*[shown.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def _kind_sql(kind: int, pattern: str) -> str:
