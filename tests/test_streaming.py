@@ -71,3 +71,17 @@ def test_weeks_and_days(spark, landed_files):
     assert all(x.week.weekday() == 0 for x in week) and sum(x.n for x in week) == 240
     day = jobs.daily_counts(spark.read.schema(jobs.READING).parquet(path)).collect()
     assert sum(x.n for x in day) == 240 and sum(x.n_urgent for x in day) == sum(1 for x in rows if x[4] >= 500 or (x[3] is not None and x[3] != 999 and x[3] >= 72))
+
+
+def test_silence_is_told_once_and_rearmed(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path, oid = str(tmp_path / "in"), 0
+    for hours in ([("a", 0), ("b", 0)], [("b", 10)], [("b", 20)], [("b", 21), ("a", 22)], [("b", 50)], [("b", 60)]):
+        rows = [(oid + k, s, T0 + dt.timedelta(hours=h), 1.0, 1.0, None) for k, (s, h) in enumerate(hours)]
+        oid += len(rows)
+        spark.createDataFrame(rows, jobs.READING).coalesce(1).write.mode("append").parquet(path)
+    got = []
+    jobs.drain(jobs.silences(jobs.source(spark, path), 8), lambda df, n: got.extend(df.collect()), str(tmp_path / "c"))
+    start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    silent = sorted((x.as_of_ms - start) // 3_600_000 for x in got if x.station == "a")
+    assert silent == [0, 22]

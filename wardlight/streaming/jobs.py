@@ -126,3 +126,36 @@ def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str
     """Run a stream over all that has landed, then stop."""
     query = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+class Liveness(StatefulProcessor):
+    """One row when a station has been silent for a time, once for each silence; a later reading arms it again."""
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = max(int(part["ts"].max().value // 1_000_000) for part in rows)
+        known = self.newest.get()[0] if self.newest.exists() else None
+        if known is None or seen > known:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.newest.update((seen,))
+            self.handle.registerTimer(seen + self.silence_ms)
+        yield pd.DataFrame({"station": pd.Series(dtype="str"), "as_of_ms": pd.Series(dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"station": [key[0]], "as_of_ms": [self.newest.get()[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def silences(stream: DataFrame, hours: int, late: str = "1 hour") -> DataFrame:
+    """Stations without a reading for ``hours`` of event time, told by the watermark of all stations."""
+    rows = stream.select("station", "ts").withWatermark("ts", late)
+    return rows.groupBy("station").transformWithStateInPandas(Liveness(hours * 3_600_000), "station string, as_of_ms long", "Append", "EventTime")
