@@ -133,5 +133,6 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     members = tied.union(tied.select("root", "root").distinct())
     named = members.join(nodes, members.node == nodes.fp).select("node", "root", "least")
     groups = named.join(named.groupBy("root").agg(F.min("least").alias("group_least")), "root").select(F.col("node").alias("fp"), "group_least")
-    of_node = nodes.join(groups, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
+    # written, so that both sides of the last join are plain exchanges, which adaptive execution splits for hot texts
+    of_node = written(nodes.join(groups, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")), "simhash-groups")
     return rows.join(of_node, "fp").select(id_col, "fp", "component_id")
