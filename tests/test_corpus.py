@@ -101,3 +101,23 @@ def test_links_and_text(spark):
 @pytest.mark.parametrize("body,kind", [(b"%PDF-1.4", "pdf"), (b"junk%PDF", "pdf"), (b"PK\x03\x04", "zip"), (b"\x1f\x8b\x08", "gzip"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "ole2"), (b"\xff\xd8\xff\xe0", "jpeg"), (b"", "unknown"), (b"hello", "unknown")])
 def test_sniffing(spark, body, kind):
     assert spark.createDataFrame([(bytearray(body),)], "b binary").select(S.sniffed("b")).first()[0] == kind
+
+
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("A sinkhole opened; the cover subsided near TS-01.", {"cave-in", "subsidence", "TS-01"}),
+        ("Leachate seeping from the north slope after slumping", {"leachate outbreak/seep", "slope failure"}),
+        ("seeps of dark leachate", {"leachate outbreak/seep"}),
+        ("The settlement agreement was signed", set()),
+        ("differential settlement of the cap", set()),
+        ("differential settlement along the cap", {"settlement"}),
+        ("the boiling point of water; a boiler", set()),
+        ("liquid was bubbling and steaming", {"boiling/bubbling", "fuming/steaming"}),
+        ("Subsurface oxidation with elevated temperatures", {"elevated temperature"}),
+        ("leachate levels were normal", set()),
+    ],
+)
+def test_default_terms(spark, text, labels):
+    pages = spark.createDataFrame([(1, 0, text)], "doc int, page int, text string")
+    assert {r.label for r in c.term_hits(pages, c.DEFAULT_TERMS).collect()} == labels

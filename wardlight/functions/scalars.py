@@ -87,6 +87,7 @@ def safe_link(url: Column | str) -> Column:
 
 def max_temperature_f(c: Column | str) -> Column:
     """The highest temperature from 50 to 1000 °F that a text names, else null."""
+    # Fixed value: how a temperature is written.
     found = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"(\d{2,4})\s*(?:°|deg(?:rees)?\.?\s*)?\s*f\b"), F.lit(1))
     values = F.filter(F.transform(found, lambda x: x.cast("int")), lambda x: x.between(50, 1000))
     return F.array_max(values)

@@ -21,6 +21,25 @@ class Term:
     negative: str | None = None
 
 
+# The terms searched for by default, each with what may not stand near a hit.
+DEFAULT_TERMS = (
+    Term("subsidence", r"\bsubsidence\b|\bsubsided\b|\bsubsiding\b"),
+    Term("cave-in", r"\bcave[\s-]?ins?\b|\bcaved[\s-]?in\b|\bsink\s?holes?\b"),
+    Term("mudslide", r"\bmud[\s-]?slides?\b|\blandslides?\b"),
+    Term("settlement", r"\b(?:surface |differential )?settlement\b|\bsettling\b", r"legal settlement|settlement agreement|claim.{0,12}settlement|settlement of"),
+    Term("slope failure", r"\bslope failure\b|\bsloughing\b|\bslumping\b"),
+    Term(
+        "leachate outbreak/seep",
+        r"leachate (?:outbreak|seep\w*|breakout|pooling|ponding|bubbl\w+|flowing)"
+        r"|(?:outbreak|seep\w*|breakout) [^.]{0,25}leachate"
+        r"|surfac\w+ leachate|standing leachate|leachate on (?:the )?(?:cap|surface|deck|slope)",
+    ),
+    Term("boiling/bubbling", r"\bboil(?:s|ed|ing)?\b|\bbubbl(?:e|es|ed|ing)\b", r"boiler|boiling springs|boiling point|boiling range|boilerplate|air bubble"),
+    Term("fuming/steaming", r"\bfum(?:e|es|ing|ed)\b|\bsteam(?:s|ed|ing)\b", r"steam turbine|steam generator|boiler.{0,12}steam|central steam|steam plant|steam radiation"),
+    Term("elevated temperature", r"elevated temperatures?\b|thermal anomal\w+|subsurface (?:oxidation|fire|smolder\w+|reaction)|exotherm\w+|\bSET event\b|smolder\w+"),
+    Term("TS-01", r"\bTS[\s\-_]?01\b|\bTSO1\b"),
+)
+
 # Words that mark a page of interest.
 SIGNALS = (
     "hov", "higher operating value", "woi", "wells of interest", "well of interest", "subsurface oxidation", "smolder", "etlf", "elevated temperature",
