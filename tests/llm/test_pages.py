@@ -27,6 +27,9 @@ def page(*parts):
         (page(f"<header>no</header><div id=sidebar>no</div><div class='ad-box'>no</div><article><p>{LONG}</p></article><div class=comments><p>{LONG} no</p></div>"), LONG),
         (page(f"<div role=navigation>no</div><p>{LONG}</p><form><input>no</form><div class='cookie-notice'>no</div>"), LONG),
         (page(f"<table><tr><td>{LONG}<td>2<tr><td>3</table>"), f"{LONG} 2\n\n3"),
+        (page(f"<div class='layout with-sidebar'><div class=header>no</div><div class='post'><div class=header>Top</div><p>{LONG}</p></div></div>"), LONG),
+        (page(f"<div class='header'>no</div><article><div class='header'>Top</div><p>{LONG}</p><p style='display: none'>no</p></article>"), f"Top\n\n{LONG}"),
+        (page(f"<div class='widget-main'><p>{LONG}</p></div>"), LONG),
         (page("<!-- a > b --><p>1 < 2 and", f" 3 > 2 {LONG}</p>"), f"1 < 2 and 3 > 2 {LONG}"),
     ],
 )

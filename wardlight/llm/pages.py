@@ -45,13 +45,18 @@ PARTS = frozenset("p b i em strong span a h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 #: Parts of class names and ids that mark what isn't the article.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer masthead comment comments disqus reply replies respond cookie cookies consent notice notices popup modal newsletter subscribe signup login "
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
+    "footer comment comments disqus reply replies respond cookie cookies consent notice notices popup modal newsletter subscribe signup login "
     "share sharing social related recommended widget pagination pager toolbar skip".split()
 )
 
+#: Whole class names and ids of page heads; inside an article they may hold its title.
+HEADS = frozenset("header site-header page-header site_header page_header masthead top topbar top-bar".split())
+#: Words before a hyphen with which a class says what its element holds or lacks.
+HOLDERS = ("has-", "with-", "no-", "without-", "is-")
+
 TOKEN = re.compile(r"""<!--(?:.*?)-->|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|<[!?][^>]*>""", re.S)
-MARKED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+MARKED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
@@ -66,22 +71,27 @@ class Node:
         self.best = self
 
 
-def unwanted(name: str, attributes: str, inside: set[str]) -> bool:
-    """Whether an element is boilerplate by its name, role, class or id."""
-    if name in CUT or (name == "header" and "article" not in inside and "main" not in inside):
+def unwanted(name: str, attributes: str, inside: set[str], by_name: bool = True) -> bool:
+    """Whether an element is boilerplate by its kind, role or state, and (``by_name``) by its class or id."""
+    if name in CUT or (name == "header" and not inside):
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for key, a, b, c in MARKED.findall(attributes):
         key, value = key.lower(), a or b or c
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in ROLES):
-            return True
-        if key in ("class", "id") and any(p.lower() in MARKS for p in PART.findall(value)):
+        low = value.lower()
+        if key == "hidden" or (key == "aria-hidden" and low == "true") or (key == "role" and low in ROLES) or (key == "style" and "display:none" in low.replace(" ", "")):
             return True
+        if by_name and key in ("class", "id"):
+            for token in value.split():
+                if token.lower() in HEADS and not inside:
+                    return True
+                if not token.lower().startswith(HOLDERS) and any(p.lower() in MARKS for p in PART.findall(token)):
+                    return True
     return False
 
 
-def parse(page: str) -> Node:
+def parse(page: str, by_name: bool = True) -> Node:
     """The page's body as a tree of nodes and strings."""
     body = Node("body", None)
     at, open_names = body, {"body": 1}
@@ -133,7 +143,7 @@ def parse(page: str) -> Node:
                     at = close(at)
                 at = close(at)
         inside = {k for k in ("article", "main") if open_names.get(k)}
-        node = Node(name, at, at.cut or unwanted(name, attributes, inside))
+        node = Node(name, at, at.cut or unwanted(name, attributes, inside, by_name))
         if not at.cut:
             at.children.append(node)
         if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW:
@@ -259,8 +269,12 @@ def main_text(page: str | None) -> str:
     """Main text of a page."""
     if not page:
         return ""
-    root = parse(page)
-    return "\n\n".join(blocks(root, chosen(root)))
+    for by_name in (True, False):  # class names may be given to everything: then they tell nothing
+        root = parse(page, by_name)
+        found = blocks(root, chosen(root))
+        if found:
+            return "\n\n".join(found)
+    return ""
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
