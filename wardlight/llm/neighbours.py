@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -127,6 +128,8 @@ def search(
         out = {"k1": [], "k2": [], "ids": [], "score": []}
         n = vectors.num_rows
         if n and queries.num_rows:
+            # by smallest id, so that ties go to it and reruns agree
+            vectors = vectors.take(pc.sort_indices(pc.list_element(vectors.column("ids"), 0)))
             x, q = _matrix(vectors.column("v")), _matrix(queries.column("v"))
             x_norm, q_norm = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
             orders = np.asarray(vectors.column("places").combine_chunks().flatten()).reshape(n, -1)
@@ -137,7 +140,7 @@ def search(
             picked, keys = [], []
             for j in range(len(q)):
                 far = footrules(asked_orders[j], places, prefix)
-                best = np.argpartition(far, most - 1)[:most] if most < n else np.arange(n)
+                best = np.sort(np.argpartition(far, most - 1)[:most]) if most < n else np.arange(n)
                 score = x[best] @ q[j] / (x_norm[best] * q_norm[j])
                 top = np.argsort(-score, kind="stable")[: k + 1]
                 picked.append((best[top], score[top]))
