@@ -69,8 +69,8 @@ def search(
     pivots: int = 128,
     prefix: int = 64,
     post: int = 2,
-    probe: int = 48,
-    share: float = 0.2,
+    probe: int = 56,
+    share: float = 0.3,
     block: int = 4096,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``id_col`` and ``score`` of the ``k`` nearest found for each query row, itself excluded by id."""
