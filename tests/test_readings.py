@@ -62,7 +62,7 @@ def test_episodes_need_a_recovery(spark):
     values = [80.0, 90.0, None, 999.0, 75.0, 10.0, 10.0, 72.0]
     rows = [(k, "MS-1", at(k), v, None, None) for k, v in enumerate(values)]
     usable = frame(spark, rows).where("h2s is not null and h2s <> 999")
-    got = sorted((x.opened_oid, x.recovered_oid) for x in r.episodes(usable, F.col("h2s") >= 72, F.col("h2s") < 72).collect() if True)
+    got = sorted((x.opened_oid, x.recovered_oid) for x in r.episodes(usable, F.col("h2s") >= 72, F.col("h2s") < 72).collect())
     assert got[0] == (0, 5) and got[1][0] == 7 and got[1][1] is None
 
 

@@ -60,10 +60,10 @@ def wide_csv(spark: SparkSession, path: str, columns: Sequence[str], keep: dict[
     """A CSV of fixed width with several header rows, kept by exact keys; a row of another width fails the job."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_bad"]])
     df = spark.read.schema(schema).csv(path, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE", quote='"', escape='"')
-    first = F.row_number().over(W.partitionBy("_file").orderBy("_at"))
-    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at0"), F.monotonically_increasing_id().alias("_at")).drop("_at0")
-    if header_rows:
-        top = rows.select("_file", "_at").withColumn("_n", first).where(F.col("_n") <= header_rows).select("_file", "_at")
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    if header_rows:  # they stand in the first block of each file
+        nth = F.row_number().over(W.partitionBy("_file").orderBy("_at"))
+        top = rows.where("_start = 0").select("_file", "_at", nth.alias("_n")).where(F.col("_n") <= header_rows).select("_file", "_at")
         rows = rows.join(top, ["_file", "_at"], "left_anti")
     rows = rows.where(F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("wrong width: "), F.left("_bad", F.lit(80)))).cast("boolean")).otherwise(F.lit(True)))
     for column, values in keep.items():
