@@ -71,3 +71,36 @@ def test_masks_overlaps(spark):
     spans = "array(named_struct('start',2,'stop',6), named_struct('start',4,'stop',5), named_struct('start',5,'stop',8))"
     got = spark.sql("select 'ab3456789' t").select(secrets.masked(F.col("t"), F.expr(spans), "#")).first()[0]
     assert got == "ab#9"
+
+
+def key(seed, kind="RSA ", end="\n", head="", last=True):
+    rng = random.Random(seed)
+    body = ["".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(64)) for _ in range(12)] + ["Qw3="]
+    return end.join([f"-----BEGIN {kind}PRIVATE KEY-----", *([head] if head else []), *body, *([f"-----END {kind}PRIVATE KEY-----"] if last else [])])
+
+
+KEYS = [
+    (1, "mine: " + key(1) + " end.", "o1"),
+    (2, "mine: " + key(2, "") + " end.", "o2"),
+    (3, "json " + key(3, "EC ", "\\n") + '".', "o3"),
+    (4, "locked " + key(4, head="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n") + ".", "o4"),
+    (5, "cut " + key(5, last=False), "o5"),
+    (6, "Put -----BEGIN RSA PRIVATE KEY----- before all other lines.", "o6"),
+    (7, "shown " + key(7), "o7"),
+    (8, "shown " + key(7, end="\r\n"), "o8"),
+    *[(20 + i, f"doc {i} " + key(9) + ".", "o9") for i in range(12)],
+]
+
+
+def test_keys_are_owned_and_masked_one_by_one(spark):
+    docs = spark.createDataFrame(KEYS, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in secrets.mask_live(docs).collect()}
+    assert (got[1], got[2], got[3], got[4], got[5]) == ("mine: [secret] end.", "mine: [secret] end.", 'json [secret]".', "locked [secret].", "cut [secret]")
+    assert all(got[i] == t for i, t, _ in KEYS if i in (6, 7, 8))
+    assert all(got[20 + i] == f"doc {i} [secret]." for i in range(12))
+
+
+def test_long_texts_after_a_header(spark):
+    texts = ["-----BEGIN PRIVATE KEY-----" + s for s in ("\n" * 200_000, "a-b " * 100_000, ("A" * 64 + "\n") * 20_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    assert secrets.mask_live(docs).count() == 3

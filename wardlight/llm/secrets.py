@@ -11,6 +11,8 @@ Counts are taken in steps, (value, owner, repository) then (value, owner) then (
 partial sums before its shuffle, so that no value's rows meet in one task. Values leave the
 first step as SHA-256 only.
 
+A key file is its whole block, and its body is its value: a header alone is the same in all of them.
+
 Cases: null and empty texts have no spans; repeated rows each get a row and count as one
 repository; rows with a null id or owner count as the null one; an empty table gives no rows.
 """
@@ -26,24 +28,32 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: A run under the least length fails in every part of it, so the least may stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
+KEY_LINE = r"-----%s [A-Z ]{0,20}PRIVATE KEY-----"
+#: A key file from its first to its last line; without a last line as far as base64 goes; else the bare first line.
+KEY = (
+    KEY_LINE % "BEGIN" + r"(?:[^-]*(?:-[^-]+){0,12}" + KEY_LINE % "END"
+    + r"|(?:[\s\\rn]{0,8}(?:Proc-Type|DEK-Info): ?[0-9A-Za-z,-]{1,80}){0,2}[\s\\rn]*[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=\\\s]*|)"
+)
+#: What a key's digest leaves out: first and last line, white space and written-out line ends.
+KEY_FRAME = KEY_LINE % "(?:BEGIN|END)" + r"|\s|\\[rn]"
 #: Public token formats: code hosts, payment keys, chat tokens, map keys, signed web tokens, key files.
 VENDOR = (
     r"gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}"
-    r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|" + KEY
 )
 KINDS = ("assign", "access", "hex", "vendor")
 SPAN = "array<struct<start:int,kind:int,stop:int,digest:string,varied:boolean>>"
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of ``pattern`` in ``text``; for assignments the value is group 2, of 8 characters or more."""
+    """Spans of ``pattern`` in ``text``; for assignments the value is group 2, of 8 characters or more, for key files the body."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
 
     def step(acc: Column, at: Column) -> Column:
         start = acc["pos"] + F.length(F.get(between, at))
         hit = F.get(hits, at)
-        value = F.regexp_extract(hit, pattern, 2) if kind == 0 else hit
+        value = F.regexp_extract(hit, pattern, 2) if kind == 0 else F.regexp_replace(hit, KEY_FRAME, "") if kind == 3 else hit
         found = F.struct(
             start.cast("int").alias("start"),
             F.lit(kind).alias("kind"),
@@ -73,11 +83,11 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, owners: int = 1, repositories: int = 10) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, owners: int = 1, repositories: int | None = 10) -> DataFrame:
     """Per row: ``id_col``, ``owner``, ``text_key`` (hash of the text), ``spans`` (base spans, and vendor ones that look live) with ``live`` and ``copied`` in each.
 
     A value looks live with at most ``owners`` owners and ``repositories`` repositories (by default a
-    repository is an id); it is copied with more owners than that.
+    repository is an id; None sets no bound); it is copied with more owners than that.
     """
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -90,7 +100,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     some = rows.where(F.size("spans") > 0)
     each = some.select("id", "owner", "text_key", F.explode("spans").alias("s")).select("id", "owner", "text_key", "s.*").distinct()
     seen = each.join(ownership(some), "digest")
-    live = F.col("varied") & (F.col("owners") <= owners) & (F.col("repositories") <= repositories)
+    live = F.col("varied") & (F.col("owners") <= owners)
+    if repositories is not None:
+        live = live & (F.col("repositories") <= repositories)
     span = F.struct("start", "kind", "stop", live.alias("live"), (F.col("owners") > owners).alias("copied"))
     judged = seen.where((F.col("kind") < 3) | live).groupBy("id", "owner", "text_key").agg(F.sort_array(F.collect_list(span)).alias("judged"))
     judged = judged.select(F.col("id").alias("_id"), F.col("owner").alias("_owner"), F.col("text_key").alias("_key"), "judged")
@@ -136,9 +148,9 @@ def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 
 def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """``docs`` with the spans that look live masked in ``text_col``; all else stays."""
+    """``docs`` with the spans that look live masked in ``text_col``, in however many documents their one owner has them; all else stays."""
     live = F.filter("spans", lambda s: s["live"])
-    found = scan(docs, id_col, text_col, owner_col).select(F.col(id_col).alias("_id"), F.col("owner").alias("_owner"), F.col("text_key").alias("_key"), live.alias("_live"))
+    found = scan(docs, id_col, text_col, owner_col, repositories=None).select(F.col(id_col).alias("_id"), F.col("owner").alias("_owner"), F.col("text_key").alias("_key"), live.alias("_live"))
     found = found.where(F.size("_live") > 0).distinct()
     rows = docs.select(F.struct("*").alias("_row"))  # so that no column of theirs clashes
     number, owner, text = (F.col("_row")[c] for c in (id_col, owner_col, text_col))
@@ -154,9 +166,11 @@ def _kind_sql(kind: int, pattern: str) -> str:
   FROM (SELECT *, unnest(range(len(hits))) AS k FROM (SELECT doc_id, source, regexp_extract_all(t, '{quoted}') AS hits, list_transform(string_split_regex(t, '{quoted}'), lambda x: length(x)) AS gaps FROM d) WHERE len(hits) > 0)"""
 
 
-#: The query's rows in DuckDB SQL, for tables in which ids don't repeat.
+#: The SQL's own vendor formats: of a key file it has the header line alone.
+SQL_VENDOR = VENDOR.removesuffix(KEY) + KEY_LINE % "BEGIN"
+#: The query's rows in DuckDB SQL, for tables in which ids don't repeat and without key files.
 ORACLE_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-raw AS ({" UNION ALL ".join(_kind_sql(k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, VENDOR)))}),
+raw AS ({" UNION ALL ".join(_kind_sql(k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, SQL_VENDOR)))}),
 spans AS (SELECT doc_id, source, kind, start, start + size AS stop, sha256(value) AS digest, len(list_distinct(string_split(value, ''))) >= 8 AS varied FROM raw WHERE kind > 0 OR length(value) >= 8),
 own AS (SELECT digest, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || '|' || doc_id) AS repositories FROM spans GROUP BY digest),
 judged AS (SELECT s.*, varied AND owners <= 1 AND repositories <= 10 AS live, owners > 1 AS copied, ['assign', 'access', 'hex', 'vendor'][kind + 1] || ':' || start || ':' || stop AS shown FROM spans s JOIN own o ON s.digest = o.digest),
