@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -124,21 +125,28 @@ def cursor(df: DataFrame, column: str = "oid") -> DataFrame:
 def thinned(df: DataFrame, calm: Column, hours: float = 8.0) -> DataFrame:
     """All elevated rows, and calm ones at least ``hours`` after the last calm row kept, by station.
 
-    Calm rows alone move the clock; rows without a stamp stay. The walk is a fold over a station's
-    day: it starts anew each day, so no station's whole history meets in one task.
+    Calm rows alone move the clock; rows without a stamp stay. Rows pass by in order of time, station
+    by station, and one stamp is held, so a history of any length is never held whole.
     """
-    day = F.coalesce(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
-    item = F.struct("ts", "oid", calm.alias("calm"))
-    groups = df.groupBy("station", day.alias("day")).agg(F.sort_array(F.collect_list(item)).alias("rows"))
-    gap = F.expr(f"INTERVAL {int(hours * 3600)} SECONDS")
-
-    def step(acc: Column, x: Column) -> Column:
-        keep = x["ts"].isNull() | ~x["calm"] | acc["last"].isNull() | (x["ts"] >= acc["last"] + gap)
-        moved = F.when(keep & x["calm"] & x["ts"].isNotNull(), x["ts"]).otherwise(acc["last"])
-        return F.struct(moved.alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x["oid"]))).otherwise(acc["kept"]).alias("kept"))
-
-    begin = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    kept = groups.select("station", F.explode(F.aggregate("rows", begin, step, lambda acc: acc["kept"])).alias("oid"))
+    gap, kind = int(hours * 3600 * 10**6), df.schema["oid"].dataType.simpleString()
+    rows = df.select("station", F.col("ts").alias("us"), "oid", calm.alias("calm"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            kept = []
+            stamps = batch.column("us").cast(pa.int64())
+            for station, us, fine in zip(*(c.to_pylist() for c in (batch.column("station"), stamps, batch.column("calm"))), strict=True):
+                if station != at:
+                    at, last = station, None
+                keep = us is None or not fine or last is None or us - last >= gap
+                if keep and fine and us is not None:
+                    last = us
+                kept.append(keep)
+            yield batch.select(["station", "oid"]).filter(pa.array(kept, pa.bool_()))
+
+    ordered = rows.repartition("station").sortWithinPartitions("station", "us", "oid")
+    kept = ordered.mapInArrow(run, f"station string, oid {kind}")
     return df.join(kept, ["station", "oid"], "left_semi")
 
 

@@ -114,8 +114,8 @@ w AS (
 SELECT station, oid FROM r WHERE NOT calm UNION ALL SELECT station, oid FROM w WHERE keep""",
 )
 def capture_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = r.classify(views.readings(spark, sf_dir))
-    calm = (F.col("h2s_status") != "exceedance") & (F.col("ch4_status") != "exceedance")
+    rows = r.classify(r.stations(views.readings(spark, sf_dir)))
+    calm = ~F.col("h2s_status").isin("exceedance", "watch") & ~F.col("ch4_status").isin("exceedance", "watch")
     return r.thinned(rows, calm).select("station", "oid")
 
 
