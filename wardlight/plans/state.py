@@ -116,7 +116,7 @@ def upcoming_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     title = F.when(F.col("o_orderkey") % 9 == 0, " ").otherwise(F.col("o_orderpriority"))
     events = o.select(F.col("o_orderkey").alias("event"), day.alias("date"), F.date_add(day, (F.col("o_custkey") % 7 - 2).cast("int")).alias("end_date"), title.alias("title"))
-    asof = o.where("o_orderkey % 500 = 1").select(day.alias("on_day")).distinct()
+    asof = o.select(day.alias("on_day")).distinct()
     return st.upcoming(events, asof).select("on_day", "event", "date", "end_date", "title")
 
 
