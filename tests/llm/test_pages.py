@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -37,6 +38,69 @@ def test_texts(text, want):
     assert pages.main_text(text) == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (f'<div class="content-sidebar-left"><article><p>{LONG}</p><p>{LONG}</p></article></div><small>fine print</small>', f"{LONG}\n\n{LONG}"),
+        (f'<article><p>{LONG}</p><section class="related-work"><p>Related: {LONG}</p></section></article>', f"{LONG}\n\nRelated: {LONG}"),
+        (f"<div class=post><header><h1>Title</h1></header><p>{LONG}</p><p>{LONG}</p></div>", f"Title\n\n{LONG}\n\n{LONG}"),
+        (f'<p title="a<b>c">{LONG}</p>', LONG),
+        (f"<form><div><p>{LONG}</p><p>{LONG}</p></div><input></form>", f"{LONG}\n\n{LONG}"),
+        (f"<p>where <math>x</math> is {LONG}</p>", f"where x is {LONG}"),
+        (f"<div><p>{LONG}</p><svg><path d=1><p>two {LONG}</p></div>", f"{LONG}\n\ntwo {LONG}"),
+        (f"<div><p>{LONG}</p><textarea><p>two {LONG}</p></div>", f"{LONG}\n\ntwo {LONG}"),
+        (f"<fieldset><label>{LONG}</label></fieldset>", LONG),
+        (f"<!-- open <p>{LONG}</p>", f"open\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><article><p>a reader</p></article><ul><li><a href=1>x</a><li><a href=2>y</a><li><a href=3>z</a></ul></article>", f"{LONG}\n\n{LONG}\n\n{LONG}"),
+    ],
+)
+def test_odd_markup(text, want):
+    assert pages.main_text(text) == want
+
+
+LINKS = "<div class=q1><div><a href=1>Home</a></div><div><a href=2>News</a></div><div><a href=3>About us</a></div><div><a href=4>Contact</a></div></div>"
+PLAIN = [
+    (f"{LINKS}<div class=q2>Buy a thing today.</div><div class=q3><h1>Head</h1>{{}}</div><div class=q4>(c) us, <a href=5>terms</a></div>", 6),
+    (f"<div class=w><div class=w1>{LINKS}<div class=w2><div class=w3><h1>Head</h1><div class=w4>{{}}</div></div><div class=w5>One line of a teaser.</div></div></div></div>", 5),
+    (f"<table><tr><td>{LINKS}</td></tr></table><div><div class=k>{{}}</div></div><div class=m><p>Short <a href=1>remark</a>.</p></div>", 4),
+]
+
+
+@pytest.mark.parametrize("shape,n", PLAIN)
+def test_density_chooses_where_markup_says_nothing(shape, n, monkeypatch):
+    text = shape.format("".join(f"<p>{k} {LONG}</p>" for k in range(n)))
+    want = "\n\n".join(["Head"] * ("Head" in shape) + [f"{k} {LONG}" for k in range(n)])
+    assert pages.main_text(text) == want
+    monkeypatch.setattr(pages, "chosen", lambda root: ({id(root)}, set()))
+    assert pages.main_text(text) != want
+
+
+def test_sections_of_one_text_come_whole():
+    parts = ["".join(f"<p>{k} {j} {LONG}</p>" for j in range(n)) for k, n in enumerate((6, 2, 3))]
+    got = pages.main_text(f"{LINKS}<div>" + "".join(f"<div class=s{k}>{p}</div>" for k, p in enumerate(parts)) + f"</div><div><p>tiny</p></div>")
+    assert got.split("\n\n") == [f"{k} {j} {LONG}" for k, n in enumerate((6, 2, 3)) for j in range(n)]
+
+
+def test_given_pages_without_their_names():
+    """Articles, menus, adverts and footers of the given pages as divs of meaningless classes give the same text."""
+    import duckdb
+
+    rows = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    names = {"<article>": "<div class=q7>", "</article>": "</div>", 'class="ad"': "class=k3", "<nav>": "<div class=z>", "</nav>": "</div>", "<footer>": "<div class=y>", "</footer>": "</div>"}
+    for (page_html,) in rows:
+        bare = page_html
+        for a, b in names.items():
+            bare = bare.replace(a, b)
+        assert pages.main_text(bare) == brute(page_html)
+
+
+@pytest.mark.parametrize("part", ["<!-- a ", "<a href='", "<a ='><a' ", "<svg>", "<textarea>", "<p><table><tr><td><div>", "<div class=ad>", "<header>", "<article>", "<!x ", "</ "])
+def test_time_is_linear(part):
+    began = time.time()
+    pages.main_text(part * 100_000 + "x")
+    assert time.time() - began < 15  # 2 s alone; other work may share the machine
+
+
 def test_deep_and_long_pages_end_soon():
     assert pages.main_text("<div>" * 20_000 + "x").endswith("x")
     assert pages.main_text("<a href='" * 20_000) is not None
