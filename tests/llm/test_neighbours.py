@@ -1,7 +1,10 @@
 import math
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,10 +75,90 @@ def test_footrule_equals_its_definition():
     rng = np.random.default_rng(2)
     pivots, vectors, prefix = 12, 20, 7
     orders = np.stack([rng.permutation(pivots)[:prefix] for _ in range(vectors)]).astype(np.int16)
-    places = np.full((pivots, vectors), prefix, np.int16)
-    places[orders, np.arange(vectors)[:, None]] = np.arange(prefix)
     q = rng.permutation(pivots)[:prefix].astype(np.int16)
     own = {int(p): k for k, p in enumerate(q)}
-    want = np.array([sum(abs(own.get(p, prefix) - places[p, v]) for p in range(pivots)) for v in range(vectors)])
-    got = neighbours.footrules(q, places, prefix)
+    theirs = [{int(p): k for k, p in enumerate(o)} for o in orders]
+    want = np.array([sum(abs(own.get(p, prefix) - t.get(p, prefix)) for p in range(pivots)) for t in theirs])
+    got = neighbours.footrules(neighbours.places_of(q, pivots), orders)
     assert len(set((got - want).tolist())) == 1
+
+
+def test_very_large_and_small_components(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4)) * np.array([1e200, 1e-200, 1.0])[np.arange(60) % 3, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = neighbours.search(df, F.col("vec_id") % 50 == 0).collect()
+    assert len(got) == 10
+    for q in (0, 50):
+        near = unit @ unit[q]
+        near[q] = -9
+        want = np.argsort(-near)[:5]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in mine] == want.tolist()
+        assert [r.score for r in mine] == pytest.approx(near[want].tolist(), abs=1e-12)
+
+
+def recall(spark, path, every, x, ids):
+    df = spark.read.parquet(path)
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % every == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit, queries = 0, np.flatnonzero(ids % every == 0)
+    for q in queries:
+        near = x @ x[q]
+        near[q] = -9
+        hit += len(got[ids[q]] & set(ids[np.argpartition(-near, 5)[:5]].tolist()))
+    return hit / (5 * len(queries))
+
+
+class Watch:
+    """Keeps what the operator fitted."""
+
+    def __init__(self, monkeypatch):
+        self.fitted, inner = [], neighbours.fitted
+
+        def kept(posted, asking, base, *rest):
+            self.fitted.append((len(base), *inner(posted, asking, base, *rest)))
+            return self.fitted[-1][1:]
+
+        monkeypatch.setattr(neighbours, "fitted", kept)
+
+    def met(self, x, every):
+        """Part of all vectors that a query meets."""
+        pivots, probe, _ = self.fitted[-1]
+        base = x[np.random.default_rng(9).permutation(len(x))[:pivots]]
+        orders, asked = neighbours.nearest_orders(x, base, 2), neighbours.nearest_orders(x[::every], base, probe)
+        return float(np.mean([(neighbours.places_of(o, pivots)[orders].min(axis=1) < probe).mean() for o in asked[:100]]))
+
+
+@pytest.fixture
+def watch(monkeypatch):
+    return Watch(monkeypatch)
+
+
+def test_recall_on_a_larger_table_of_random_directions(spark, watch):
+    path = "/root/testdata/check_s/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("table not there")
+    pdf = spark.read.parquet(path).toPandas()
+    x = np.stack(pdf["embedding"]).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, path, 50, x, pdf["vec_id"].to_numpy()) >= 0.9
+    assert watch.met(x, 50) < 0.7
+
+
+def test_clustered_vectors_are_found_in_few_files(spark, watch, tmp_path):
+    rng, shares = np.random.default_rng(4), []
+    for n in (50_000, 200_000):
+        centres = rng.normal(size=(n // 100, 64))
+        x = centres[rng.integers(len(centres), size=n)] + 0.35 * rng.normal(size=(n, 64))
+        path = str(tmp_path / f"v{n}.parquet")
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), 64).cast(pa.list_(pa.float32()))
+        pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": flat}), path, row_group_size=25_000)
+        x = x.astype(np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert recall(spark, path, 1000, x, np.arange(n)) >= 0.9
+        shares.append(watch.met(x, 1000))
+    assert shares[1] < shares[0] < 0.2  # the part met falls as vectors become more
