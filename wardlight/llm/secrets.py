@@ -1,7 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions alone.
 
 Patterns give spans (code points, end exclusive): ``split`` leaves what stands between matches and
-``regexp_extract_all`` the matches, so running lengths are their places. Each span's value is
+``regexp_extract_all`` the matches, so running lengths are their places. Both are evaluated once a text, and
+running values are taken in parts of ``PART``, so time grows with the text, not with its hits' square. Each span's value is
 hashed, and over the whole corpus a hash has a number of distinct owners and of distinct
 repositories. A varied value with one owner, in few repositories, looks live; one that many
 owners hold is a copied example. Vendor-format tokens are added as spans only where they look
@@ -19,6 +20,8 @@ repository; rows with a null id or owner count as the null one; an empty table g
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,32 +45,58 @@ VENDOR = (
     r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|" + KEY
 )
 KINDS = ("assign", "access", "hex", "vendor")
+#: Elements of an array that are handled in one go.
+PART = 128
 SPAN = "array<struct<start:int,kind:int,stop:int,digest:string,varied:boolean>>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is evaluated once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_parts(array: Column) -> Column:
+    """An array as an array of arrays of ``PART`` elements, the last one shorter."""
+    return bound(array, lambda a: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / PART).cast("int") - 1), lambda k: F.slice(a, k * PART + 1, F.lit(PART))))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of integers, ``merge`` of 0 and all before it; arrays that grow by copying are short."""
+
+    def before(array: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(array, begin, lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def over(parts: Column) -> Column:
+        whole = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), merge))
+        return F.flatten(F.zip_with(parts, before(whole, F.lit(0)), before))
+
+    return F.when(F.size(values) > 0, bound(in_parts(values), over)).otherwise(F.array().cast("array<int>"))
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Spans of ``pattern`` in ``text``; for assignments the value is group 2, of 8 characters or more, for key files the body."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
 
-    def step(acc: Column, at: Column) -> Column:
-        start = acc["pos"] + F.length(F.get(between, at))
-        hit = F.get(hits, at)
+    def part(gap: Column, hit: Column) -> Column:
         value = F.regexp_extract(hit, pattern, 2) if kind == 0 else F.regexp_replace(hit, KEY_FRAME, "") if kind == 3 else hit
-        found = F.struct(
-            start.cast("int").alias("start"),
+        return F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(hit), F.lit(0)).alias("size"), value.alias("value"))
+
+    def span(p: Column, before: Column) -> Column:
+        return F.struct(
+            (before + p["gap"]).alias("start"),
             F.lit(kind).alias("kind"),
-            (start + F.length(hit)).cast("int").alias("stop"),
-            F.sha2(value, 256).alias("digest"),
-            (F.size(F.array_distinct(F.split(value, ""))) >= 8).alias("varied"),
+            (before + p["gap"] + p["size"]).alias("stop"),
+            F.sha2(p["value"], 256).alias("digest"),
+            (F.size(F.array_distinct(F.split(p["value"], ""))) >= 8).alias("varied"),
         )
-        keep = F.length(value) >= 8 if kind == 0 else F.lit(True)
-        more = F.when(keep, F.array(found)).otherwise(F.array().cast(SPAN))
-        return F.struct((start + F.length(hit)).cast("int").alias("pos"), F.concat(acc["found"], more).alias("found"))
 
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("found"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), begin, step, lambda acc: acc["found"])
-    return F.when(F.size(hits) > 0, walked).otherwise(F.array().cast(SPAN))
+    def places(parts: Column) -> Column:
+        found = F.zip_with(parts, running(F.transform(parts, lambda p: p["gap"] + p["size"]), lambda a, b: a + b), lambda p, before: F.when(p["size"] > 0, F.when(F.length(p["value"]) >= 8, span(p, before)) if kind == 0 else span(p, before)))
+        return F.filter(found, lambda x: x.isNotNull()).cast(SPAN)
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    some = bound(F.zip_with(F.split(text, pattern, -1), hits, part), places)
+    return F.when(F.regexp_like(text, F.lit(pattern)), some).otherwise(F.array().cast(SPAN))
 
 
 def candidate_spans(text: Column) -> Column:
@@ -136,15 +165,23 @@ def counted(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with what the ``spans`` (in order) cover put out by ``mark``."""
+    """``text`` with what the ``spans`` (in order) cover put out by ``mark``, one mark for spans that overlap."""
+
+    def shown(source: Column, item: Column, base: Column) -> Column:
+        gap = item["start"] - item["low"]
+        return F.when(gap >= 0, F.concat(F.substring(source, item["low"] - base + 1, gap), F.lit(mark))).otherwise("")
+
+    def of_part(items: Column) -> Column:
+        base, top = F.get(items, F.lit(0))["low"], F.array_max(F.transform(items, lambda i: F.greatest(i["low"], i["stop"])))
+        part = bound(F.substring(text, base + 1, top - base), lambda source: F.array_join(F.transform(items, lambda i: shown(source, i, base)), ""))
+        return F.struct(part.alias("out"), top.alias("top"))
 
-    def step(acc: Column, s: Column) -> Column:
-        shown = F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        fresh = F.struct(s["stop"].alias("pos"), F.concat(acc["out"], shown, F.when(s["start"] >= acc["pos"], F.lit(mark)).otherwise("")).alias("out"))
-        return F.when(s["stop"] > acc["pos"], fresh).otherwise(acc)
+    def whole(items: Column) -> Column:
+        return bound(F.transform(in_parts(items), of_part), lambda parts: F.concat(F.array_join(F.transform(parts, lambda p: p["out"]), ""), F.substring(text, F.element_at(parts, -1)["top"] + 1, F.length(text))))
 
-    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    low = running(F.transform(spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+    items = F.zip_with(spans, low, lambda s, low: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), low.alias("low")))
+    return F.when(F.size(spans) > 0, bound(items, whole)).otherwise(text)
 
 
 def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
