@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from wardlight.llm import mixing
 
@@ -75,3 +76,30 @@ def test_quality_is_preferred(spark):
     got = [r for r in mixing.mix(docs).collect() if r.source == "b"]
     assert 0 < got[0].target < got[0].source_size
     assert sum(r.taken for r in got if r.doc_id % 2) > 2 * sum(r.taken for r in got if not r.doc_id % 2)
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["rows", "_key", "_nth", "_bucket", "row", "key", "tie", "id", "nth", "bucket", "last", "epochs", "left", "of", "offset", "a.b", "_metadata"]
+    rows = [(i, "some words here", "s%d" % (i % 2), *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix(docs)
+    assert got.columns == ["doc_id", "text", "source", *names, "size", "source_size", "target", "copies", "taken"]
+    assert sorted(tuple(r)[: len(names) + 3] for r in got.collect()) == sorted(rows)
+    assert mixing.mix(docs, keep=("doc_id", "rows")).columns == ["doc_id", "rows", "size", "source_size", "target", "copies", "taken"]
+
+
+def test_many_repeated_rows_are_taken_near_the_target(spark):
+    rows = [(1, "one two three", "a")] * 900 + [(i, "one two three", "a") for i in range(2, 300)] + [(i, "w " * 40, "b") for i in range(1000, 1100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), per_bucket=100).collect()
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 40
+    assert len(got) == len(rows)
+
+
+def test_buckets_are_even(spark):
+    """Keys of given texts' qualities: the largest range bucket is under three times the median."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(mixing.text_quality(F.col("text")).alias("q"))
+    keys = docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40)))).select((-F.log(F.rand(5)) / F.col("q")).alias("key"))
+    sizes = sorted(r["count"] for r in keys.repartitionByRange(200, "key").groupBy(F.spark_partition_id()).count().collect())
+    assert sum(sizes) == 400_000 and sizes[-1] < 3 * sizes[len(sizes) // 2]

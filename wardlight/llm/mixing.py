@@ -7,14 +7,18 @@ sources ordered by cap to weight. Complete epochs of a source come first. The re
 a sample without replacement: each document draws the exponential key ``-ln(u) / quality``, and
 documents in key order are taken while the middle of the document lies within the budget.
 
-The prefix sums don't gather a source: keys are dealt into buckets of about ``per_bucket`` rows in
-key order, bucket totals give offsets, and only a bucket is sorted in one task. ``u`` comes from
-an MD5 of seed, source and id, so reruns agree.
-
-Cases: null and empty texts have size 0 and take 0; repeated rows tie in everything and are told
-apart by order alone; a source without words has target 0; an empty table gives no rows; extra
-columns pass through (``size``, ``source_size``, ``target``, ``copies`` and ``taken`` are replaced).
-The table of sources is ordered in one task: it holds a row a source, with no text.
+Texts are read once: sizes and keys are written beside the columns to keep. The prefix sums don't gather a
+source: the numbers alone are dealt by Spark's range partitioning (edges are quantiles that it samples) into
+buckets of about ``per_bucket`` rows in key order, bucket totals give offsets, and only a bucket is sorted in
+one task. Middles rise in key order, so what is taken of a source is all up to one last document; the table is
+then read once against that document's place and moves nowhere. ``u`` comes from an MD5 of seed, source and id,
+so reruns agree.
+
+Cases: null and empty texts have size 0 and take 0; repeated rows tie in everything and are told apart by
+their places in the written table, so many of them still fall into many buckets; a source without words has
+target 0; an empty table gives no rows; extra columns of any name pass through (``size``, ``source_size``,
+``target``, ``copies`` and ``taken`` are replaced). Two tables are ordered by fewer tasks than there are executors:
+that of sources (a row each, in one task) and each source's bucket totals (a row for ``per_bucket`` documents).
 """
 
 from __future__ import annotations
@@ -57,40 +61,59 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return table.select("source", "nth", "source_size", "rows", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: int = 17, per_bucket: int = 2048) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` (times taken whole) and ``taken`` (words)."""
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    names = docs.columns
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    quality: Column | None = None,
+    seed: int = 17,
+    per_bucket: int = 262_144,
+    keep: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """``keep`` columns of ``docs`` (by default all) with ``size``, ``source_size``, ``target``, ``copies`` (times taken whole) and ``taken`` (words)."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "copies", "taken")]
     drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(source_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10)
     u = (drawn.cast("double") + 0.5) / float(2**52)
     quality = text_quality(F.col(text_col)) if quality is None else quality
     base = docs.select(
-        *names,
-        F.col(source_col).alias("_source"),
+        F.struct(*[docs[f"`{c}`"].alias(f"_{k}") for k, c in enumerate(names)], F.lit(0).alias("_")).alias("row"),
+        F.col(source_col).alias("source"),
+        F.col(id_col).alias("id"),
         word_count(F.col(text_col)).alias("size"),
-        (-F.log(u) / quality).alias("_key"),
+        (-F.log(u) / quality).alias("key"),
     )
-    sizes = base.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    plan = written(targets(sizes.withColumnRenamed("_source", "source")).select(F.col("source").alias("_of"), F.col("nth").alias("_nth"), "source_size", "rows", "target"), "mix-plan")
-    if plan.count() <= FEW:
-        plan = F.broadcast(plan)  # else a join by source, which adaptive execution splits
-    buckets = F.ceil(F.col("rows") / per_bucket).cast("long")
-    spot = F.least(buckets - 1, F.floor(buckets * (1.0 - F.exp(-F.col("_key")))))
-    placed = base.join(plan, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_bucket", spot.cast("long"))
-
-    in_source = W.partitionBy("_nth").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = placed.groupBy("_nth", "_bucket").agg(F.sum("size").alias("_words"))
-    offsets = totals.select("_nth", "_bucket", F.coalesce(F.sum("_words").over(in_source), F.lit(0)).alias("_before"))
-    # documents move once: the join and the window share the partitioning by source number and bucket
-    rows = placed.join(offsets, ["_nth", "_bucket"])
-
-    within = W.partitionBy("_nth", "_bucket").orderBy("_key", id_col, "size").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    left = F.col("target") - epochs * F.col("source_size")
-    picked = (2 * before + F.col("size") <= 2 * left) & (F.col("size") > 0)
-    rows = rows.withColumn("copies", (epochs + picked.cast("long")).cast("long"))
-    return rows.select(*names, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    base = written(base, "mix-rows")
+    base = base.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("tie"))
+    plan = written(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))), "mix-plan")
+    counts = plan.agg(F.count("*").alias("sources"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+
+    def planned(df: DataFrame, plan: DataFrame) -> DataFrame:
+        """Rows with their source's plan: broadcast up to ``FEW`` sources, else a join, which adaptive execution splits."""
+        plan = plan.withColumnRenamed("source", "of")
+        return df.join(F.broadcast(plan) if counts.sources <= FEW else plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+    numbers = planned(base.select("source", "id", "size", "key", "tie"), plan.select("source", "nth")).drop("source")
+    parts = max(1, -(-counts.rows // per_bucket))
+    order = ["key", "id", "size", "tie"]
+    placed = written(numbers.repartitionByRange(parts, "nth", *order).withColumn("bucket", F.spark_partition_id()), "mix-order")
+    earlier = W.partitionBy("nth").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("nth", "bucket").agg(F.sum("size").alias("words"))
+    offsets = totals.select("nth", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
+    within = W.partitionBy("nth", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
+
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = plan.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
+    budgets = plan.select("nth", "left")
+    ranked = placed.join(offsets, ["nth", "bucket"]).withColumn("before", before).where("size > 0")
+    ranked = ranked.join(F.broadcast(budgets) if counts.sources <= FEW else budgets, "nth")
+    last = ranked.where(2 * F.col("before") + F.col("size") <= 2 * F.col("left")).groupBy("nth").agg(F.max(F.struct(*order)).alias("last"))
+    cuts = written(plan.join(last, "nth", "left").select("source", "source_size", "target", "epochs", "last"), "mix-cuts")
+
+    picked = (F.col("size") > 0) & F.coalesce(F.struct(*order) <= F.col("last"), F.lit(False))
+    rows = planned(base, cuts).withColumn("copies", F.col("epochs") + picked.cast("long"))
+    return rows.select(*[F.col("row")[f"_{k}"].alias(c) for k, c in enumerate(names)], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 ORACLE_SQL = r"""
