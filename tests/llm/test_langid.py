@@ -60,6 +60,35 @@ def test_no_labels_no_model(spark):
     assert model is None and langid.identify(docs, model).first().lang_pred == "und"
 
 
+def test_words_are_letters_and_marks():
+    assert langid.words_of("½ ² ① Ⅷ 12") == []
+    assert langid.words_of("हिन्दी में, Ça_va3x") == ["हिन्दी", "में", "ça", "va", "x"]
+
+
+def test_all_of_a_long_word_counts():
+    a, b = (langid.features_of("这是" * 20 + mid + "文字" * 20) for mid in ("今天", "明天"))
+    assert set(a) != set(b) and len(a) > 160
+
+
+def test_lexicons_hold_words_of_one_language():
+    windows = [(["der", "an", "x"], "de"), (["der", "an"], "de"), (["an", "on"], "en"), (["an", "on"], "en")]
+    assert langid.lexicons(windows) == {"der": ["@de"], "on": ["@en"]}
+
+
+def test_text_of_no_language(spark):
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"), per_language=200, windows=400)
+    rows = [(1, "The and of that with this, for there were other ones and the rest."), (2, "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura"), (3, "Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić"), (4, "xqvz kjwq zzrtk vvxq wqpk")]
+    got = {r.doc_id: r.other for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] < 0.2 and min(got[2], got[3], got[4]) > 0.9
+    assert model.languages[-1] == langid.OTHER
+
+
+def test_languages_share_the_bound_of_rows(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} text", f"l{i % 40}") for i in range(2000)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=5, rows=60, steps=2)
+    assert 30 <= len(model.languages) <= 41
+
+
 def test_fold_equals_zlib(spark):
     ids = spark.range(50).select("id", langid.fold("id").alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 4 for r in ids)

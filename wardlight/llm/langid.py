@@ -1,36 +1,42 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word's features are itself (where training knows it), its affixes of up to four letters and its
-letter pairs and triples; each feature has a weight for each language, and each pair of languages
-a learned transition. Forward-backward gives each word's probabilities, so that passages of a second
-language are told apart word by word. A text's score for a language is the mean over its words.
+A word (letters and marks of any script) has as features itself (where training knows it), its affixes of up to
+four letters, all its letter pairs and triples, and the languages in whose lexicon it stands: those in which at
+least two training windows have it, and four fifths of all that have it. Each feature has a weight for each
+language, and each pair of languages a learned transition. Forward-backward gives each word's probabilities, so
+that passages of a second language are told apart word by word. A text's score for a language is the mean over
+its words.
+
+Besides the languages there is the label ``OTHER``, learned from training windows with the letters of their words
+shuffled: text in none of the languages, or in no language. It is never a prediction; its part of the words is given.
 
 Training takes at most ``per_language`` labelled rows and ``windows`` windows of each language, those
-of least hash (a bounded sample, so the model's size doesn't grow with the table), and splices some
-windows of different languages so that switches occur. Scoring takes every word of every text, in
-windows of 64 words.
+of least hash, and ``rows`` rows in all, evenly by language (a bounded sample, so the model's size doesn't grow with
+the table), and splices some windows of different languages so that switches occur. Scoring takes every word of
+every text, in windows of 64 words.
 
-Cases: null texts and texts without a letter are ``und`` with score 0, and so is everything if no
-row is labelled; repeated rows each get a row; an empty table gives no rows.
+Cases: null texts and texts without a letter (numbers such as one half are none) are ``und`` with score 0, and so is
+everything if no row is labelled; repeated rows each get a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
+import random
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"[\p{L}\p{M}]+")
 SPAN = 64
-#: Letters of a word beyond which only its ends count.
-LONG = 40
+#: Label of what is in none of the languages.
+OTHER = ""
 
 
 def words_of(text: str | None) -> list[str]:
@@ -39,8 +45,6 @@ def words_of(text: str | None) -> list[str]:
 
 def features_of(word: str) -> list[str]:
     """Feature names of a lower-cased word."""
-    if len(word) > LONG:
-        word = word[: LONG // 2] + word[-LONG // 2 :]
     n, edged = len(word), f"^{word}$"
     found = ["=" + word]
     found += ["<" + word[:k] for k in range(1, min(4, n) + 1)]
@@ -85,6 +89,7 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, move: np.ndarray
 class Crf:
     languages: list[str]
     index: dict[str, int]
+    lexicon: dict[str, list[str]]
     weights: np.ndarray
     move: np.ndarray
     begin: np.ndarray
@@ -96,7 +101,7 @@ class Crf:
         """Summed feature weights of distinct words."""
         get, flat, ends = self.index.get, [], []
         for w in words:
-            flat += [i for i in map(get, features_of(w)) if i is not None]
+            flat += [i for i in map(get, features_of(w) + self.lexicon.get(w, [])) if i is not None]
             flat.append(0)  # the bias, so that no word is without features
             ends.append(len(flat))
         starts = np.array([0, *ends[:-1]])
@@ -145,12 +150,26 @@ class Crf:
         return np.split(out, np.cumsum(sizes)[:-1])
 
 
-def fit(samples: list[tuple[list[str], str]], steps: int = 60, rate: float = 0.25, decay: float = 1e-6, splice: float = 0.3, seed: int = 11) -> Crf | None:
+def lexicons(samples: list[tuple[list[str], str]]) -> dict[str, list[str]]:
+    """Lexicon features of the words of windows: the languages in which two have it, and four fifths of all that have it."""
+    held: dict[str, Counter] = {}
+    for words, language in samples:
+        for w in set(words):
+            held.setdefault(w, Counter())[language] += 1
+    found = {w: [f"@{s}" for s, n in c.items() if n >= 2 and 5 * n >= 4 * c.total()] for w, c in held.items()}
+    return {w: names for w, names in found.items() if names}
+
+
+def fit(samples: list[tuple[list[str], str]], steps: int = 60, rate: float = 0.25, decay: float = 1e-6, splice: float = 0.3, shuffle: float = 0.25, seed: int = 11) -> Crf | None:
     """A chain fitted to windows of words of one language each, by full-batch Adam on the penalised likelihood."""
-    samples = [(w[:SPAN], s) for w, s in samples if w]
+    samples = [(w[:SPAN], s) for w, s in samples if w and s != OTHER]
     languages = sorted({s for _, s in samples})
     if not languages:
         return None
+    lexicon, mixer = lexicons(samples), random.Random(seed)
+    for words, _ in mixer.sample(samples, int(shuffle * len(samples))):
+        samples.append((["".join(mixer.sample(w, len(w))) for w in words], OTHER))
+    languages.append(OTHER)
     rng, k = np.random.default_rng(seed), len(languages)
     chains, truth = [w for w, _ in samples], [[languages.index(s)] * len(w) for w, s in samples]
     for _ in range(int(splice * len(samples)) if k > 1 else 0):
@@ -159,13 +178,14 @@ def fit(samples: list[tuple[list[str], str]], steps: int = 60, rate: float = 0.2
         chains.append(samples[i][0][:p] + samples[j][0][:q])
         truth.append(truth[i][:p] + truth[j][:q])
     types = sorted({w for c in chains for w in c})
-    seen = Counter(f for w in types for f in set(features_of(w)))
+    named = {w: features_of(w) + lexicon.get(w, []) for w in types}
+    seen = Counter(f for w in types for f in set(named[w]))
     index = {f: n for n, f in enumerate(sorted(f for f, c in seen.items() if c > 1 or f[0] == "="), 1)}
     number = {w: n for n, w in enumerate(types)}
     flat, starts = [], []
     for w in types:
         starts.append(len(flat))
-        flat += [index[f] for f in features_of(w) if f in index] + [0]
+        flat += [index[f] for f in named[w] if f in index] + [0]
     flat, starts = np.array(flat), np.array(starts)
     owner = np.repeat(np.arange(len(types)), np.diff([*starts, len(flat)]))
     lengths = np.array([len(c) for c in chains])
@@ -192,7 +212,7 @@ def fit(samples: list[tuple[list[str], str]], steps: int = 60, rate: float = 0.2
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
-    return Crf(languages, index, values[0].astype(np.float32), values[1].astype(np.float32), values[2].astype(np.float32))
+    return Crf(languages, index, lexicon, values[0].astype(np.float32), values[1].astype(np.float32), values[2].astype(np.float32))
 
 
 def fold(id_col: str) -> Column:
@@ -200,14 +220,16 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows: int = 600, steps: int = 40) -> Crf | None:
-    """A model of the rows of folds 0, 1 and 3 with a label; at most ``per_language`` rows and ``windows`` windows a language."""
-    learn = docs.where((fold(id_col) != 2) & F.col(lang_col).isNotNull())
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows: int = 600, rows: int = 20_000, steps: int = 40) -> Crf | None:
+    """A model of the rows of folds 0, 1 and 3 with a label; at most ``per_language`` rows and ``windows`` windows a language, and ``rows`` rows in all."""
+    learn = docs.where((fold(id_col) != 2) & F.coalesce(F.col(lang_col) != OTHER, F.lit(False)))
     drawn = learn.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit("langid"), F.col(id_col)).alias("h"))
-    for key in (["lang", F.pmod("h", F.lit(256))], ["lang"]):  # the least of 256 parts of a language, then the least of those
-        drawn = drawn.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("h", "id"))).where(F.col("n") <= per_language)
-    ids = [r.id for r in drawn.select("id").collect()]
-    rows = learn.where(F.col(id_col).isin(ids)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    # by hash about twice as many rows of a language as are needed, then the least of these
+    wide = drawn.join(drawn.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.pmod("h", F.lit(2**40)) < 2.0 * (per_language + 50) / F.col("n") * 2**40)
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(2**40)), "id"))
+    taken = wide.withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("nth", "h", "id", "lang").limit(rows)
+    ids = [r.id for r in taken.select("id").collect()]
+    chosen = learn.where(F.col(id_col).isin(ids)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,14 +241,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 langs += [lang] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(langs, pa.string())], names=["words", "lang"])
 
-    parts = rows.mapInArrow(cut, "words string, lang string").distinct()
+    parts = chosen.mapInArrow(cut, "words string, lang string").distinct()
     nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("words"), "words"))
     kept = parts.withColumn("n", nth).where(F.col("n") <= windows).collect()
     return fit([(r.words.split(" "), r.lang) for r in sorted(kept, key=lambda r: (r.lang, r.n))], steps)
 
 
 def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: ``id_col``, ``keep`` columns, ``lang_pred``, ``score`` and ``shares``, each language's part of the words."""
+    """Per row: ``id_col``, ``keep`` columns, ``lang_pred``, ``score``, ``other`` (part of the words in no language) and ``shares``, each language's part of them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     plain = docs.select(F.col(id_col).alias("_0"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep, 1)])
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *keep)]
@@ -236,21 +258,24 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                names, scores, shares = [], [], []
+                names, scores, others, shares = [], [], [], []
                 lists = [words_of(t) for t in batch.column("_text").to_pylist()]
                 for post in crf.label(lists) if crf else [()] * len(lists):
                     if not len(post):
                         names.append("und")
                         scores.append(0.0)
+                        others.append(0.0)
                         shares.append([])
                         continue
                     mean = post.astype(np.float64).mean(axis=0)
-                    names.append(crf.languages[int(mean.argmax())])
-                    scores.append(min(1.0, float(mean.max())))
+                    best = int(mean[:-1].argmax())
+                    names.append(crf.languages[best])
+                    scores.append(min(1.0, float(mean[best])))
+                    others.append(min(1.0, float(mean[-1])))
                     shares.append(list(zip(crf.languages, mean.tolist(), strict=True)))
                 columns = [batch.column(f"_{n}") for n in range(len(keep) + 1)]
-                columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, *keep, "lang_pred", "score", "shares"])
+                columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(others, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, *keep, "lang_pred", "score", "other", "shares"])
 
     shape = ", ".join(f"`{c}` {t}" for c, t in zip((id_col, *keep), kinds, strict=True))
-    return plain.mapInArrow(run, f"{shape}, lang_pred string, score double, shares map<string,double>")
+    return plain.mapInArrow(run, f"{shape}, lang_pred string, score double, other double, shares map<string,double>")
