@@ -98,7 +98,7 @@ def weekly_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.weekly_digest(_routes(spark, sf_dir))
 
 
-FEEDS = f"""{views.FILINGS}, feed AS (SELECT doc_id, date_filed, 0 AS src FROM filings WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, date_filed, 1 FROM filings WHERE doc_id % 3 = 1)"""
+FEEDS = f"""{views.FILINGS}, feed AS (SELECT doc_id, date_filed, 0 AS src FROM filings WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, date_filed, 1 FROM filings WHERE doc_id % 2 <> 0)"""
 
 
 @query(

@@ -113,7 +113,7 @@ def text_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "diff_case_order",
     """WITH o AS (SELECT l_suppkey % 30 AS site, count(*) AS old_n FROM lineitem WHERE l_suppkey % 30 <> 4 AND l_orderkey % 10 <> 0 GROUP BY 1),
-n AS (SELECT l_suppkey % 30 AS site, count(*) AS new_n, count(*) > count(DISTINCT l_orderkey * 100 + l_linenumber) AS has_duplicates FROM lineitem WHERE l_suppkey % 30 <> 6 AND l_linenumber = l_suppkey % 7 + 1 AND l_orderkey % 4 = 0 GROUP BY 1),
+n AS (SELECT l_suppkey % 30 AS site, count(*) AS new_n, count(*) > count(DISTINCT l_orderkey * 100 + l_linenumber) AS has_duplicates FROM lineitem WHERE l_suppkey % 30 <> 6 AND l_orderkey % 10 <> 1 GROUP BY 1),
 j AS (SELECT coalesce(o.site, n.site) AS site, old_n, coalesce(new_n, 0) AS new_n, coalesce(has_duplicates, false) AS has_duplicates FROM o FULL JOIN n ON o.site = n.site)
 SELECT *, site % 11 <> 5 AS readable, site % 5 = 3 AS truncated, CASE WHEN site % 13 = 7 THEN 'a' ELSE 'b' END AS old_config, 'b' AS new_config,
   CASE WHEN old_n IS NULL THEN 'baseline' WHEN site % 11 = 5 THEN 'unreadable' WHEN site % 13 = 7 THEN 'settings changed' WHEN has_duplicates THEN 'counts only' WHEN site % 5 = 3 THEN 'digests only'

@@ -104,13 +104,13 @@ def rolling_avg_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "capture_downsample",
     f"""WITH RECURSIVE {views.READINGS}, {STATUS},
-r AS (SELECT station, CAST(ts AS DATE) AS day, ts, oid, (h2s_status NOT IN ('exceedance') AND ch4_status NOT IN ('exceedance')) AS calm FROM classed),
-c AS (SELECT *, row_number() OVER (PARTITION BY station, day ORDER BY ts, oid) AS k FROM r WHERE calm),
+r AS (SELECT station, ts, oid, h2s_status NOT IN ('exceedance', 'watch') AND ch4_status NOT IN ('exceedance', 'watch') AS calm FROM classed WHERE starts_with(station, 'MS-')),
+c AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY ts, oid) AS k FROM r WHERE calm),
 w AS (
-  SELECT station, day, k, ts, oid, ts AS last, true AS keep FROM c WHERE k = 1
+  SELECT station, k, ts, oid, ts AS last, true AS keep FROM c WHERE k = 1
   UNION ALL
-  SELECT c.station, c.day, c.k, c.ts, c.oid, CASE WHEN c.ts >= w.last + INTERVAL 8 HOURS THEN c.ts ELSE w.last END, c.ts >= w.last + INTERVAL 8 HOURS
-  FROM w JOIN c ON c.station = w.station AND c.day = w.day AND c.k = w.k + 1)
+  SELECT c.station, c.k, c.ts, c.oid, CASE WHEN c.ts >= w.last + INTERVAL 8 HOURS THEN c.ts ELSE w.last END, c.ts >= w.last + INTERVAL 8 HOURS
+  FROM w JOIN c ON c.station = w.station AND c.k = w.k + 1)
 SELECT station, oid FROM r WHERE NOT calm UNION ALL SELECT station, oid FROM w WHERE keep""",
 )
 def capture_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def watch_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "liveness",
-    f"""{BASE}, n AS (SELECT station, max(ts) AS as_of FROM readings WHERE oid % 7 <> 0 GROUP BY station)
+    f"""{BASE}, n AS (SELECT station, max(ts) AS as_of FROM readings GROUP BY station)
 SELECT station, as_of, date_diff('day', CAST(as_of AS DATE), DATE '2024-02-01') AS days_silent, date_diff('day', CAST(as_of AS DATE), DATE '2024-02-01') >= 2 AS stale FROM n""",
 )
 def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:

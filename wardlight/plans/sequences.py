@@ -17,15 +17,15 @@ def gas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.gas_readings(L.well_lines(spark, sf_dir))
 
 
-@query("well_parse", f"{GAS} SELECT doc, line_no, page, well_id, dt, adj, ch4, co2, o2, balance, init_temp, valid FROM wells")
+@query("well_parse", f"{GAS} SELECT doc, line_no, page, well_id, dt, adj, ch4, co2, o2, balance, temp, valid FROM wells")
 def well_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gas(spark, sf_dir).select("doc", "line_no", "page", "well_id", "dt", "adj", "ch4", "co2", "o2", "balance", "init_temp", "valid")
+    return gas(spark, sf_dir).select("doc", "line_no", "page", "well_id", "dt", "adj", "ch4", "co2", "o2", "balance", "temp", "valid")
 
 
 SUMMARY = """good AS (SELECT * FROM wells WHERE valid AND NOT adj),
-top AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY well_id ORDER BY init_temp DESC, line_no) = 1),
+top AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY well_id ORDER BY temp DESC, line_no) = 1),
 agg AS (SELECT well_id, max(o2) AS max_o2, count(*) AS n FROM good GROUP BY well_id),
-summary AS (SELECT t.well_id, t.init_temp AS max_temp, t.dt, t.o2 AS o2_at_max, t.ch4 AS ch4_at_max, max_o2, n FROM top t JOIN agg a ON t.well_id = a.well_id)"""
+summary AS (SELECT t.well_id, t.temp AS max_temp, t.dt, t.o2 AS o2_at_max, t.ch4 AS ch4_at_max, max_o2, n FROM top t JOIN agg a ON t.well_id = a.well_id)"""
 
 
 @query("well_summary", f"{GAS}, {SUMMARY} SELECT *, CAST(substr(well_id, 4) AS INT) % 10 = 3 AS is_listed FROM summary")
@@ -46,55 +46,63 @@ def well_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "well_measurements",
-    f"""{GAS}, d AS (SELECT doc, well_id, strftime(l_shipdate, '%Y-%m-%d') AS as_of, init_temp, o2, ch4 FROM wells WHERE NOT adj)
-SELECT doc, well_id, as_of, 'temperature' AS metric, init_temp AS value, 'F' AS unit FROM d UNION ALL SELECT doc, well_id, as_of, 'oxygen', o2, '%' FROM d UNION ALL SELECT doc, well_id, as_of, 'methane', ch4, '%' FROM d""",
+    f"""{GAS}, d AS (SELECT doc, well_id, strftime(l_shipdate, '%Y-%m-%d') AS as_of, temp, o2, ch4 FROM wells WHERE NOT adj)
+SELECT doc, well_id, as_of, 'temperature' AS metric, temp AS value, 'F' AS unit FROM d UNION ALL SELECT doc, well_id, as_of, 'oxygen', o2, 'percent' FROM d UNION ALL SELECT doc, well_id, as_of, 'methane', ch4, 'percent' FROM d""",
 )
 def well_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.well_measurements(gas(spark, sf_dir))
 
 
-@query("well_bands", f"{GAS}, p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY init_temp DESC, line_no) AS k FROM wells) SELECT doc, line_no, well_id, init_temp FROM p WHERE init_temp >= 138 OR k = 1")
+@query("well_bands", f"{GAS}, p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY temp DESC, line_no) AS k FROM wells) SELECT doc, line_no, well_id, temp FROM p WHERE temp >= 138 OR k = 1")
 def well_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.banded(gas(spark, sf_dir), 138.0).select("doc", "line_no", "well_id", "init_temp")
+    return q.banded(gas(spark, sf_dir), 138.0).select("doc", "line_no", "well_id", "temp")
 
 
 @query(
     "minimum_evidence",
-    f"{GAS} SELECT doc, count(*) FILTER (valid) AS n_valid, count(*) FILTER (init_temp >= 139) AS n_anchor, count(*) FILTER (valid) >= 1200 AND count(*) FILTER (init_temp >= 139) >= 1 AS replace FROM wells GROUP BY doc",
+    f"{GAS} SELECT doc, count(*) FILTER (valid) AS n_valid, count(*) FILTER (temp >= 139) AS n_anchor, count(*) FILTER (valid) >= 800 AND count(*) FILTER (temp >= 139) >= 1 AS replace FROM wells GROUP BY doc",
 )
 def minimum_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardlight.operators.state import minimum_evidence as guard
 
-    return guard(gas(spark, sf_dir), F.col("valid"), F.col("init_temp") >= 139, 1200, 1)
+    return guard(gas(spark, sf_dir), F.col("valid"), F.col("temp") >= 139, 800, 1)
 
 
-@query("co_parse", f"WITH {L.CO_ROWS} SELECT well_id, month, ppm FROM co")
+@query("co_parse", f"WITH {L.CO_ROWS} SELECT doc, well_id, month, ppm FROM co")
 def co_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.co_readings(L.co_lines(spark, sf_dir)).select("well_id", "month", "ppm")
+    return q.co_readings(L.co_lines(spark, sf_dir)).select("doc", "well_id", "month", "ppm")
 
 
 @query(
     "co_trend",
-    f"""WITH {L.CO_ROWS} SELECT well_id, string_agg(month || '=' || CAST(ppm AS BIGINT), ' ' ORDER BY month) AS series, max(ppm) AS max_ppm, arg_min(ppm, month) AS first_ppm, arg_max(ppm, month) AS last_ppm,
-  round(arg_max(ppm, month) - arg_min(ppm, month), 6) AS rise, count(*) AS n FROM co GROUP BY well_id""",
+    f"""WITH {L.CO_ROWS} SELECT doc, well_id, string_agg(month || '=' || CAST(ppm AS BIGINT), ' ' ORDER BY month) AS series, max(ppm) AS max_ppm, arg_min(ppm, month) AS first_ppm, arg_max(ppm, month) AS last_ppm,
+  round(arg_max(ppm, month) - arg_min(ppm, month), 6) AS rise, count(*) AS n FROM co GROUP BY doc, well_id""",
 )
 def co_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.co_trend(q.co_readings(L.co_lines(spark, sf_dir)))
 
 
+@query(
+    "co_measurements",
+    f"WITH {L.CO_ROWS} SELECT doc, well_id, strftime(o_orderdate, '%Y-%m-%d') AS as_of, 'carbon_monoxide' AS metric, ppm AS value, 'ppm' AS unit, 'CO, ' || month AS note FROM co",
+)
+def co_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.co_measurements(q.co_readings(L.co_lines(spark, sf_dir)))
+
+
 MONTHS = ("1996-01", "1996-02", "1996-03", "1996-04", "1996-05")
 
 
-@query("co_pivot", f"WITH {L.CO_ROWS} SELECT well_id, " + ", ".join(f"max(ppm) FILTER (month = '{m}') AS \"{m}\"" for m in MONTHS) + " FROM co GROUP BY well_id")
+@query("co_pivot", f"WITH {L.CO_ROWS} SELECT doc, well_id, " + ", ".join(f"max(ppm) FILTER (month = '{m}') AS \"{m}\"" for m in MONTHS) + " FROM co GROUP BY doc, well_id")
 def co_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.co_pivot(q.co_readings(L.co_lines(spark, sf_dir)), MONTHS)
 
 
 VERDICT = f"""{L.REPORT_ROWS},
 r AS (SELECT DISTINCT user_id % 50 AS report, user_id % 50 % 3 <> 0 AS all_clear FROM events),
-s AS (SELECT report, count(*) AS n_days, max(CASE WHEN value NOT LIKE '<%' THEN CAST(value AS DOUBLE) END) AS max_numeric, count(*) FILTER (value LIKE '<%') AS b FROM vals GROUP BY report),
+s AS (SELECT report, count(*) AS n_days, count(value) AS tokens, max(CASE WHEN value NOT LIKE '<%' THEN CAST(value AS DOUBLE) END) AS max_numeric, count(*) FILTER (value LIKE '<%') AS b FROM vals GROUP BY report),
 v AS (SELECT r.report, coalesce(n_days, 0) AS n_days, max_numeric, CASE WHEN max_numeric IS NOT NULL THEN CAST(CAST(max_numeric AS BIGINT) AS VARCHAR) WHEN b > 0 THEN '<1' ELSE '' END AS value_token,
-  max_numeric IS NULL AND coalesce(b, 0) > 0 AS all_below_1, all_clear, coalesce(max_numeric >= 10, false) AS exceed_24h, coalesce(n_days, 0) = 0 AS parse_anomaly FROM r LEFT JOIN s ON r.report = s.report),
+  max_numeric IS NULL AND coalesce(b, 0) > 0 AS all_below_1, all_clear, coalesce(max_numeric >= 10, false) AS exceed_24h, coalesce(tokens, 0) = 0 AS parse_anomaly FROM r LEFT JOIN s ON r.report = s.report),
 w AS (SELECT *, exceed_24h OR parse_anomaly OR NOT all_clear AS alert FROM v)"""
 
 

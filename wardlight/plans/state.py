@@ -108,7 +108,7 @@ def meeting_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     "upcoming_window",
     """WITH e AS (SELECT o_orderkey AS event, CAST(o_orderdate AS DATE) AS date, CAST(o_orderdate AS DATE) + CAST(o_custkey % 7 AS INT) - 2 AS ed, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderpriority END AS title FROM orders),
 f AS (SELECT event, date, CASE WHEN ed < date THEN date ELSE ed END AS end_date, title FROM e WHERE trim(title) <> ''),
-d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS on_day FROM orders WHERE o_orderkey % 500 = 1)
+d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS on_day FROM orders)
 SELECT on_day, event, date, end_date, title FROM f JOIN d ON end_date >= on_day AND date <= on_day + 14""",
 )
 def upcoming_window(spark: SparkSession, sf_dir: str) -> DataFrame:
