@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions import scalars as S
 from wardlight.operators import corpus as c
+from wardlight.operators.ranking import placed
 
 
 def one(spark, column, **values):
@@ -56,6 +57,30 @@ def test_privacy_scan_fails_closed(spark):
         c.privacy_scan(docs, terms.where("term = ' '"), F.lit(False))
 
 
+def test_many_terms_and_exempt_rows(spark):
+    docs = spark.createDataFrame([(k, f"text with code{k:04d} inside") for k in range(300)] + [(999, "code0001 code0002 code0001")], "doc int, text string")
+    terms = spark.createDataFrame([(f"CODE{k:04d} inside",) for k in range(200)] + [("code0001",), ("Code0001",)], "term string")
+    got = {r.doc: (r.n_terms, r.verdict) for r in c.privacy_scan(docs, terms, F.lit(False), F.col("doc") == 5, chunk=40).collect()}
+    assert got[1] == (3, "blocked") and got[5] == (1, "exempt") and got[199] == (1, "blocked") and got[200] == (0, "clear") and got[999] == (2, "blocked")
+
+
+def test_many_hits_in_one_page_end_soon(spark):
+    text = "".join(f"line {k} leak here, " for k in range(20_000))
+    pages = spark.createDataFrame([(1, 0, text)], "doc int, page int, text string")
+    began = time.time()
+    got = c.term_hits(pages, [c.Term("leak", "leak")]).agg(F.min("pos"), F.max("pos"), F.count("*")).first()
+    assert time.time() - began < 30
+    assert (got[0], got[1]) == (text.index("leak") + 1, text.rindex("leak") + 1) and got[2] > 10_000
+
+
+def test_places_equal_a_sort(spark):
+    rows = [(k % 3, k * 7919 % 101, k) for k in range(500)]
+    got = placed(spark.createDataFrame(rows, "tier int, n int, doc int").repartition(5), ["tier"], [F.desc("n"), F.col("doc")], per_bucket=40).collect()
+    for t in range(3):
+        want = sorted((r for r in rows if r[0] == t), key=lambda r: (-r[1], r[2]))
+        assert [(r.tier, r.n, r.doc) for r in sorted((r for r in got if r.tier == t), key=lambda r: r.place)] == want
+
+
 def test_page_versions(spark):
     rows = [(1, "u", '<article><p>Long enough text to be taken as a page.</p><a href="/b?x=1">b</a><a href="/a">a</a></article>'), (2, "u", "<div>no region</div>"), (3, "u", "<main>short</main>")]
     got = {r.page_id: r for r in c.page_version(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wardlight.functions import scalars as S
+from wardlight.functions.arrays import match_places
+from wardlight.operators.ranking import placed
+from wardlight.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -47,17 +52,6 @@ SIGNALS = (
 )
 
 
-def _spot(hits: Column, between: Column):
-    """A function of a match's number to its position (from 1) and size."""
-
-    def at(k: Column) -> Column:
-        skipped = F.aggregate(F.slice(between, F.lit(1), k + 1), F.lit(1), lambda a, x: a + x)
-        matched = F.aggregate(F.slice(hits, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
-        return F.struct((skipped + matched).alias("pos"), F.length(F.get(hits, k)).alias("size"))
-
-    return at
-
-
 def term_hits(pages: DataFrame, terms: Sequence[Term], near: int = 45, around: int = 130) -> DataFrame:
     """Hits of each term in each page whose ``near`` characters on both sides don't match its negative pattern.
 
@@ -67,9 +61,7 @@ def term_hits(pages: DataFrame, terms: Sequence[Term], near: int = 45, around: i
     found = None
     for t in terms:
         pattern = f"(?i){t.positive}"
-        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        between = F.transform(F.split("text", pattern, -1), F.length)
-        spots = F.transform(F.sequence(F.lit(0), F.size(hits) - 1), _spot(hits, between))
+        spots = match_places(F.col("text"), pattern)
         rows = pages.where(F.col("text").rlike(pattern)).select("doc", "page", "text", F.explode(spots).alias("s")).select("doc", "page", "text", "s.*")
         if t.negative:
             start = F.greatest(F.col("pos") - near, F.lit(1))
@@ -99,8 +91,12 @@ def sections(docs: DataFrame, ranked: DataFrame, verdicts: DataFrame, least: int
 def ranked_results(rows: DataFrame) -> DataFrame:
     """Results in order: relevant, unjudged, others; more labels, then more hits, then the document."""
     tier = F.when(F.col("section") == "relevant", 0).when(F.col("section") == "unjudged", 1).otherwise(2)
-    parts = W.partitionBy("tier").orderBy(F.desc("n_labels"), F.desc("n_hits"), "doc")
-    return rows.where("n_hits is not null").withColumn("tier", tier).withColumn("place", F.row_number().over(parts))
+    return placed(rows.where("n_hits is not null").withColumn("tier", tier), ["tier"], [F.desc("n_labels"), F.desc("n_hits"), F.col("doc")])
+
+
+def richest(ranked: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` results of each tier, for a report of bounded length."""
+    return ranked.where(F.col("place") <= most)
 
 
 def flagged(pages: DataFrame, words: Sequence[str] = SIGNALS) -> DataFrame:
@@ -134,19 +130,45 @@ def triage(page_stats: DataFrame, first: int = 12) -> DataFrame:
     return sums.select("doc", verdict.alias("verdict"), F.round(per, 6).alias("chars_per_page"))
 
 
-def privacy_scan(docs: DataFrame, terms: DataFrame, unsearchable: Column) -> DataFrame:
+def found_terms(docs: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:
+    """``doc`` and ``n``, the number of ``terms`` (lower-cased strings with how often each counts) that stand in its text."""
+    shared, kind = docs.sparkSession.sparkContext.broadcast(terms), docs.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for k, (term, n) in enumerate(shared.value):
+            automaton.add_word(term, (k, n))
+        automaton.make_automaton()
+        for batch in batches:
+            counts = [sum(dict(v for _, v in automaton.iter(t)).values()) if t else 0 for t in batch.column("low").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(counts, pa.int64())], names=["doc", "n"])
+
+    return docs.select("doc", F.lower("text").alias("low")).mapInArrow(run, f"doc {kind}, n long")
+
+
+def privacy_scan(docs: DataFrame, terms: DataFrame, unsearchable: Column, exempt: Column | None = None, chunk: int = 50_000) -> DataFrame:
     """Each document's verdict against fixed strings: blocked by a hit, blocked unread, or clear. Without terms the job fails.
 
-    Terms are few lines of a list kept by hand; they're counted, and the product is refused beyond 10,000.
+    Whole terms are sought by one automaton over batches of texts. Terms beyond ``chunk`` take a further pass each, so what
+    an executor holds is bounded however many there are. Rows that are ``exempt`` (data files) are never blocked by a hit.
     """
-    n = terms.where(F.trim("term") != "").count()
-    if not 0 < n <= 10_000:
-        raise ValueError(f"{n} privacy terms: expected between 1 and 10000")
-    words = [r.term.lower() for r in terms.where(F.trim("term") != "").select("term").collect()]
-    low = F.lower("text")
-    hits = F.size(F.filter(F.lit(words), lambda t: F.contains(low, t)))
-    rows = docs.withColumn("n_terms", F.coalesce(hits, F.lit(0)))
-    return rows.select("doc", "n_terms", F.when(unsearchable, "blocked unread").when(F.col("n_terms") > 0, "blocked").otherwise("clear").alias("verdict"))
+    low = F.lower("term")
+    known = terms.where(F.trim("term") != "").groupBy(low.alias("term")).agg(F.count("*").alias("n"))
+    known = written(known.withColumn("k", F.xxhash64("term")), "privacy-terms")
+    n = known.count()
+    if not n:
+        raise ValueError("no privacy terms: a scan without any would pass everything")
+    parts = -(-n // chunk)
+    rows = docs.select("doc", unsearchable.alias("unread"), (F.lit(False) if exempt is None else F.coalesce(exempt, F.lit(False))).alias("exempt"))
+    found = None
+    for part in range(parts):
+        some = [(r.term, r.n) for r in known.where(F.pmod("k", F.lit(parts)) == part).collect()]
+        if some:
+            hits = found_terms(docs, some)
+            found = hits if found is None else found.unionByName(hits)
+    sums = found.groupBy("doc").agg(F.sum("n").alias("n_terms"))
+    rows = rows.join(sums, "doc", "left").withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
+    return rows.select("doc", "n_terms", F.when(F.col("exempt"), "exempt").when(F.col("unread"), "blocked unread").when(F.col("n_terms") > 0, "blocked").otherwise("clear").alias("verdict"))
 
 
 def harvested_ids(pages: DataFrame, marker: str, pattern: str) -> DataFrame:

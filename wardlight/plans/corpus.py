@@ -77,6 +77,31 @@ def term_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.ranked_results(_sections(spark, sf_dir)).select("doc", "section", "n_labels", "n_hits", "tier", "place")
 
 
+@query(
+    "term_rank_richest",
+    f"""WITH {SECT}, t AS (SELECT doc, section, n_labels, n_hits, CASE section WHEN 'relevant' THEN 0 WHEN 'unjudged' THEN 1 ELSE 2 END AS tier FROM sect WHERE n_hits IS NOT NULL)
+SELECT *, row_number() OVER (PARTITION BY tier ORDER BY n_labels DESC, n_hits DESC, doc) AS place FROM t QUALIFY place <= 25""",
+)
+def term_rank_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is the bound: the report names the richest documents of each tier."""
+    return c.richest(c.ranked_results(_sections(spark, sf_dir)), 25).select("doc", "section", "n_labels", "n_hits", "tier", "place")
+
+
+def _default_sql() -> str:
+    """Documents by default term in DuckDB: RE2 lacks nothing that the positive patterns use."""
+    each = [f"SELECT '{t.label}' AS label, CAST(count(*) FILTER (regexp_matches(text, '(?i){t.positive}')) AS BIGINT) AS n_docs FROM documents" for t in c.DEFAULT_TERMS]
+    return " UNION ALL ".join(each)
+
+
+@query("default_term_documents", _default_sql())
+def default_term_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which each default term matches, before its negative pattern."""
+    d = table(spark, sf_dir, "documents")
+    counts = d.agg(*[F.count_if(F.col("text").rlike(f"(?i){t.positive}")).alias(t.label) for t in c.DEFAULT_TERMS])
+    pairs = F.array(*[F.struct(F.lit(t.label).alias("label"), F.col(f"`{t.label}`").alias("n_docs")) for t in c.DEFAULT_TERMS])
+    return counts.select(F.explode(pairs).alias("p")).select("p.*")
+
+
 @query("bare_term_count", "SELECT doc_id AS doc, len(regexp_extract_all(text, '(?i)\\bthe\\b')) AS n FROM documents")
 def bare_term_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.regexp_count("text", F.lit(r"(?i)\bthe\b")).cast("long").alias("n"))
@@ -108,14 +133,14 @@ def text_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "privacy_scan",
-    """WITH t AS (SELECT lower(substr(text, 1, 60)) AS term FROM benchmark),
-h AS (SELECT doc_id, len(list_filter((SELECT list(term) FROM t), lambda x: contains(lower(text), x))) AS n_terms, length(text) AS n FROM documents)
-SELECT doc_id AS doc, CAST(n_terms AS INT) AS n_terms, CASE WHEN n < 40 THEN 'blocked unread' WHEN n_terms > 0 THEN 'blocked' ELSE 'clear' END AS verdict FROM h""",
+    """WITH t AS (SELECT lower(text) AS term FROM benchmark),
+h AS (SELECT doc_id, source, len(list_filter((SELECT list(term) FROM t), lambda x: contains(lower(text), x))) AS n_terms, length(text) AS n FROM documents)
+SELECT doc_id AS doc, CAST(n_terms AS BIGINT) AS n_terms, CASE WHEN source LIKE '%7' THEN 'exempt' WHEN n < 40 THEN 'blocked unread' WHEN n_terms > 0 THEN 'blocked' ELSE 'clear' END AS verdict FROM h""",
 )
 def privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 60).alias("term"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return c.privacy_scan(docs, terms, F.length("text") < 40)
+    terms = table(spark, sf_dir, "benchmark").select(F.col("text").alias("term"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
+    return c.privacy_scan(docs, terms, F.length("text") < 40, F.col("source").endswith("7"))
 
 
 @query(
