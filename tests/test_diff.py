@@ -70,3 +70,20 @@ def test_line_diff(spark):
     old = spark.createDataFrame([(1, ["a", "b", "b"], ["/x"]), (2, ["a"], ["/x"]), (3, ["a"], [])], "page int, lines array<string>, links array<string>")
     new = spark.createDataFrame([(1, ["a", "b", "c"], ["/x"]), (2, ["a"], ["/y"]), (3, ["a"], [])], "page int, lines array<string>, links array<string>")
     assert {r.page: (r.plus, r.minus, r.change) for r in diff.line_diff(old, new, "page", "lines", "links").collect()} == {1: (1, 1, "text"), 2: (0, 0, "links only"), 3: (0, 0, "unchanged")}
+
+
+def test_digests_tell_apart_what_a_separator_would_not(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ('a"', "b"), ("a", '"b'), (None, "x"), ("", "x")]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string, q string").select(diff.digest("p", "q")).collect()]
+    assert len(set(got[:4])) == 4 and got[4] == got[5]  # a missing value counts as an empty one
+
+
+def test_a_change_in_any_of_clashing_records_shows(spark):
+    def frame(*rows):
+        return spark.createDataFrame(list(rows), "k int, v string")
+
+    old = frame((1, "a"), (1, "b"), (2, "x"), (3, "y"), (3, "y"))
+    got = {r.k: (r.state, r.collisions) for r in diff.identity_diff(old, frame((1, "b"), (1, "c"), (2, "x"), (3, "y"), (3, "y")), ["k"], ["v"]).collect()}
+    assert got == {1: ("changed", 1), 2: ("unchanged", 0), 3: ("unchanged", 1)}
+    got = {r.k: r.state for r in diff.identity_diff(old, frame((1, "b"), (1, "a"), (3, "y"), (4, "n")), ["k"], ["v"]).collect()}
+    assert got == {1: "unchanged", 3: "changed", 4: "new"}

@@ -88,6 +88,14 @@ def test_sinks(spark, tmp_path):
     assert sinks.stored(spark, other, batched).where("batch = 'b1'").count() == 3
     sinks.purge(spark, [path], [SCHEMA], df.where("doc_id = 1"))
     assert {r.doc_id for r in sinks.stored(spark, path, SCHEMA).collect()} == {2}
+    assert not (tmp_path / "log.next").exists() and not (tmp_path / "log.old").exists()
+    (tmp_path / "log").rename(tmp_path / "log.old")  # as a run leaves it that broke off
+    sinks.purge(spark, [path], [SCHEMA], df.where("doc_id = 1"))
+    assert {r.doc_id for r in sinks.stored(spark, path, SCHEMA).collect()} == {2}
+    rows = spark.createDataFrame([(k, 1 + k // 2) for k in range(9)], "rn int, page int")
+    sinks.feed(rows, str(tmp_path / "feed"), per_folder=2)
+    assert sorted(p.name for p in (tmp_path / "feed").iterdir() if p.is_dir()) == ["pages=0", "pages=1", "pages=2"]
+    assert spark.read.parquet(str(tmp_path / "feed")).where("pages = 1 and page = 3").count() == 2
     table = str(tmp_path / "table")
     many = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x").alias("note"))
     assert sinks.publish(many, table, SCHEMA) and not sinks.publish(many.limit(89), table, SCHEMA) and sinks.publish(many.limit(90), table, SCHEMA)

@@ -37,11 +37,12 @@ def us_date_to_iso(c: Column | str) -> Column:
 
 
 def epoch_ms_date(c: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(F.expr("try_cast({} as bigint)".format(c)) if isinstance(c, str) else c.cast("bigint")), "yyyy-MM-dd")
+    """Epoch milliseconds, as a number or its text, as an ISO date; null where it is none."""
+    return F.date_format(F.timestamp_millis(_col(c).try_cast("bigint")), "yyyy-MM-dd")
 
 
-def epoch_ms_minute(c: Column) -> Column:
-    return F.date_format(F.timestamp_millis(c.cast("bigint")), "yyyy-MM-dd HH:mm")
+def epoch_ms_minute(c: Column | str) -> Column:
+    return F.date_format(F.timestamp_millis(_col(c).try_cast("bigint")), "yyyy-MM-dd HH:mm")
 
 
 def identity_key(*columns: str) -> Column:
@@ -54,12 +55,16 @@ def content_hash(*columns: str) -> Column:
     return F.substring(F.sha1(identity_key(*columns)), 1, 12)
 
 
+# Fixed value: a bare date in parentheses at a title's end.
+TRAILING_DATE = r"\s*\(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\)\s*$"
+
+
 def without_trailing_date(c: Column | str) -> Column:
     """A title without a bare ``(M/D/YYYY)`` at its end; only the last 40 characters are looked at."""
-    text = F.rtrim(_col(c))
+    text = F.regexp_replace(_col(c), r"(?<!\s)\s+$", "")
     size = F.length(text)
     head, tail = F.when(size > 40, F.substring(text, F.lit(1), size - 40)).otherwise(""), F.right(text, F.lit(40))
-    cut = F.regexp_replace(tail, r"[ ]{0,10}\(\d{1,2}/\d{1,2}/\d{4}\)$", "")
+    cut = F.regexp_replace(tail, TRAILING_DATE, "")
     return F.concat(head, cut)
 
 
@@ -132,7 +137,7 @@ def merged_lists(a: Column, b: Column) -> Column:
 
 
 #: Leading bytes of file kinds, as hex.
-MAGIC: Sequence[tuple[str, str]] = (("25504446", "pdf"), ("1F8B", "gzip"), ("D0CF11E0A1B11AE1", "ole2"), ("504B0304", "zip"), ("89504E47", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("49492A00", "tiff"), ("4D4D002A", "tiff"))
+MAGIC: Sequence[tuple[str, str]] = (("25504446", "pdf"), ("1F8B", "gzip"), ("D0CF11E0A1B11AE1", "ole2"), ("504B0304", "zip"), ("89504E47", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("424D", "bmp"))
 
 
 def sniffed(content: Column | str) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def canonical(*columns: str) -> Column:
-    """Columns as one text, nulls as empty, so that equal records give equal digests."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    """Columns as a JSON list of texts, nulls as empty ones, so that equal records give equal digests and no two others the same text."""
+    return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
 
 def digest(*columns: str, length: int = 12) -> Column:
@@ -89,11 +89,14 @@ def latest_per_key(log: DataFrame, keys: Sequence[str], order: str) -> DataFrame
 def identity_diff(seen: DataFrame, current: DataFrame, identity: Sequence[str], content: Sequence[str]) -> DataFrame:
     """New, changed and unchanged identities of ``current`` against ``seen``; gone ones are kept, never reported.
 
-    An identity that stands twice in ``current`` is judged by its least content hash; ``collisions``
-    counts what was set aside.
+    An identity that stands more than once is judged by all its contents: their digests are added up as numbers, so no group is
+    gathered and a change of any shows. ``collisions`` counts the rows beyond the first.
     """
-    now = current.groupBy(*identity).agg(F.min(digest(*content)).alias("hash"), (F.count("*") - 1).alias("collisions"))
-    old = seen.groupBy(*identity).agg(F.min(digest(*content)).alias("old_hash"))
+    one = digest(*content)
+    total = F.sum(F.conv(one, 16, 10).cast("decimal(38,0)")).cast("string")
+    whole = F.when(F.count("*") == 1, F.min(one)).otherwise(F.substring(F.sha2(F.concat_ws("|", F.count("*"), total), 256), 1, 12))
+    now = current.groupBy(*identity).agg(whole.alias("hash"), (F.count("*") - 1).alias("collisions"))
+    old = seen.groupBy(*identity).agg(whole.alias("old_hash"))
     both = now.join(old, list(identity), "left")
     state = F.when(F.col("old_hash").isNull(), "new").when(F.col("old_hash") != F.col("hash"), "changed").otherwise("unchanged")
     return both.select(*identity, "hash", "collisions", state.alias("state"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wardlight.functions import scalars as S
+from wardlight.operators.ranking import placed
 
 # Risk ids of the register.
 RISKS = tuple(f"R{k}" for k in range(1, 9))
@@ -77,6 +78,22 @@ def weekly_digest(routes: DataFrame) -> DataFrame:
     return routes.groupBy(week.alias("week"), section.alias("section")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("date_filed").alias("last_date"))
 
 
+def digest_lines(routes: DataFrame) -> DataFrame:
+    """The digest of each week (ending Sunday) as lines in order of ``part`` and ``place``: recap of what was sent, headline with the count, action items, others."""
+    week = F.date_format(F.date_add(F.date_trunc("week", F.to_date("date_filed")).cast("date"), 6), "yyyy-MM-dd")
+    part = F.when(F.col("route") == "alert", 0).when(F.col("doc_type") == "procedural", 2).otherwise(3)
+    rows = routes.select(week.alias("week"), part.alias("part"), "doc_id", "date_filed", "doc_type", "severity")
+    number, day = F.col("doc_id").cast("string"), F.col("date_filed")
+    line = F.when(F.col("part") == 0, F.concat(F.lit("  - Sent "), day, F.lit("  "), number)).when(F.col("part") == 2, F.concat(F.lit("  - "), day, F.lit("  "), number))
+    line = line.otherwise(F.concat(F.lit("  - "), day, F.lit("  ["), "doc_type", F.lit("/"), "severity", F.lit("]  "), number))
+    items = placed(rows, ["week", "part"], [F.col("date_filed"), F.col("doc_id")]).select("week", "part", "place", line.alias("line"))
+    title = F.when(F.col("part") == 0, "URGENT ITEMS FROM EARLIER THIS WEEK (already sent):").when(F.col("part") == 2, "ACTION ITEMS (deadlines / notices):").otherwise("OTHER NEW DOCUMENTS:")
+    heads = rows.select("week", "part").distinct().select("week", "part", F.lit(0).cast("long").alias("place"), title.alias("line"))
+    counts = rows.groupBy("week").agg(F.count_if(F.col("part") > 0).alias("n"))
+    heads = heads.unionByName(counts.select("week", F.lit(1).alias("part"), F.lit(0).cast("long").alias("place"), F.concat(F.lit("Digest: "), "n", F.lit(" new document(s).")).alias("line")))
+    return heads.unionByName(items)
+
+
 def feed_pages(feed: DataFrame, day: str, ties: Sequence[Column], per_page: int = 50) -> DataFrame:
     """Newest-first rows with ``rn``, ``page``, ``file``, ``prev`` and ``next``.
 

@@ -42,8 +42,7 @@ def canonical_view(df: DataFrame, fields: Sequence[str], dates: Sequence[str] =
         text = F.coalesce(F.trim(F.col(name).cast("string")), F.lit(""))
         if name not in dates:
             return text.alias(name)
-        ms = F.expr(f"try_cast(trim(cast(`{name}` as string)) as bigint)")
-        return F.coalesce(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"), text).alias(name)
+        return F.coalesce(S.epoch_ms_date(text), text).alias(name)
 
     return df.select(*map(view, fields))
 

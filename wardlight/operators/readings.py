@@ -150,6 +150,21 @@ def thinned(df: DataFrame, calm: Column, hours: float = 8.0) -> DataFrame:
     return df.join(kept, ["station", "oid"], "left_semi")
 
 
+def capture_rows(df: DataFrame) -> DataFrame:
+    """Readings as they are kept for good: raw values under their public names, missing ones null."""
+    have = set(df.columns)
+    names = {"station": "monitor_id", "as_of": "timestamp", "h2s": "h2s_ppb", "ch4": "ch4_ppm", "direction": "wind_direction", "speed": "wind_speed", "temp": "temp", "oid": "oid"}
+    rows = df.withColumn("as_of", F.date_format("ts", "yyyy-MM-dd HH:mm")) if "as_of" not in have else df
+    return rows.select(*[F.col(a).alias(b) if a in have or a == "as_of" else F.lit(None).cast("double").alias(b) for a, b in names.items()])
+
+
+def captured(df: DataFrame, hours: float = 8.0, prefix: str = "MS-") -> DataFrame:
+    """Which readings of a poll are kept for good: every exceedance or watch of a watched station, and of the rest one in ``hours``."""
+    rows = classify(stations(df, prefix))
+    calm = ~F.col("h2s_status").isin("exceedance", "watch") & ~F.col("ch4_status").isin("exceedance", "watch")
+    return capture_rows(thinned(rows, calm, hours))
+
+
 def episodes(df: DataFrame, over: Column, fine: Column) -> DataFrame:
     """Alert episodes: one opens with a reading over the level and lasts until one that is fine; silence and other readings change nothing."""
     w = W.partitionBy("station").orderBy("ts", "oid")

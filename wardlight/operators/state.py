@@ -35,6 +35,11 @@ def todo(listed: DataFrame, state: DataFrame, most_errors: int = 3, retry_poison
     return both.withColumn("reason", reason.otherwise("new")).where("reason is not null").select("doc", "reason")
 
 
+def batch(rows: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
+    """The first ``size`` rows of the work to do, in order: what one run takes on."""
+    return rows.orderBy(*order).limit(size)
+
+
 def unarchived(listed: DataFrame, archived: DataFrame, key: str) -> DataFrame:
     """Listed rows whose key, as text, isn't archived."""
     return listed.join(archived.select(F.col(key).cast("string").alias("_k")).distinct(), F.col(key).cast("string") == F.col("_k"), "left_anti")

@@ -110,13 +110,12 @@ w AS (
   SELECT station, k, ts, oid, ts AS last, true AS keep FROM c WHERE k = 1
   UNION ALL
   SELECT c.station, c.k, c.ts, c.oid, CASE WHEN c.ts >= w.last + INTERVAL 8 HOURS THEN c.ts ELSE w.last END, c.ts >= w.last + INTERVAL 8 HOURS
-  FROM w JOIN c ON c.station = w.station AND c.k = w.k + 1)
-SELECT station, oid FROM r WHERE NOT calm UNION ALL SELECT station, oid FROM w WHERE keep""",
+  FROM w JOIN c ON c.station = w.station AND c.k = w.k + 1),
+k AS (SELECT station, oid FROM r WHERE NOT calm UNION ALL SELECT station, oid FROM w WHERE keep)
+SELECT k.station, k.oid, strftime(ts, '%Y-%m-%d %H:%M') AS timestamp, h2s AS h2s_ppb, ch4 AS ch4_ppm FROM k JOIN readings USING (oid)""",
 )
 def capture_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = r.classify(r.stations(views.readings(spark, sf_dir)))
-    calm = ~F.col("h2s_status").isin("exceedance", "watch") & ~F.col("ch4_status").isin("exceedance", "watch")
-    return r.thinned(rows, calm).select("station", "oid")
+    return r.captured(views.readings(spark, sf_dir)).select(F.col("monitor_id").alias("station"), "oid", "timestamp", "h2s_ppb", "ch4_ppm")
 
 
 @query(

@@ -57,7 +57,7 @@ def multiset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "snapshot_digest_multiset",
     f"""WITH {views.VIOLATIONS},
-t AS (SELECT site, substr(sha256(category || '|' || status || '|' || qty || '|' || mon), 1, 12) AS digest, d FROM
+t AS (SELECT site, substr(sha256(CAST(to_json([CAST(category AS VARCHAR), CAST(status AS VARCHAR), CAST(qty AS VARCHAR), CAST(mon AS VARCHAR)]) AS VARCHAR)), 1, 12) AS digest, d FROM
   (SELECT *, -1 AS d FROM violations_old UNION ALL SELECT *, 1 FROM violations_new))
 SELECT site, digest, CAST(sum(d) AS BIGINT) AS delta FROM t GROUP BY ALL HAVING sum(d) <> 0""",
 )
@@ -85,8 +85,8 @@ def snapshot_diff_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "snapshot_digest_diff",
     f"""WITH {views.PERMITS},
-o AS (SELECT permit, substr(sha256(site || '|' || status || '|' || category || '|' || effective), 1, 12) AS d_old FROM permits_old),
-n AS (SELECT permit, substr(sha256(site || '|' || status || '|' || category || '|' || effective), 1, 12) AS d_new FROM permits_new)
+o AS (SELECT permit, substr(sha256(CAST(to_json([CAST(site AS VARCHAR), CAST(status AS VARCHAR), CAST(category AS VARCHAR), CAST(effective AS VARCHAR)]) AS VARCHAR)), 1, 12) AS d_old FROM permits_old),
+n AS (SELECT permit, substr(sha256(CAST(to_json([CAST(site AS VARCHAR), CAST(status AS VARCHAR), CAST(category AS VARCHAR), CAST(effective AS VARCHAR)]) AS VARCHAR)), 1, 12) AS d_new FROM permits_new)
 SELECT permit, d_old, d_new, CASE WHEN d_old IS NULL THEN 'NEW' WHEN d_new IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change
 FROM o FULL JOIN n USING (permit) WHERE d_old IS DISTINCT FROM d_new""",
 )
@@ -108,8 +108,8 @@ def duplicate_key_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "identity_hash_diff",
     f"""WITH {views.PERMITS},
-n AS (SELECT permit, min(substr(sha256(status || '|' || category), 1, 12)) AS hash, count(*) - 1 AS collisions FROM permits_new GROUP BY permit),
-o AS (SELECT permit, min(substr(sha256(status || '|' || category), 1, 12)) AS old_hash FROM permits_old GROUP BY permit)
+n AS (SELECT permit, min(substr(sha256(CAST(to_json([CAST(status AS VARCHAR), CAST(category AS VARCHAR)]) AS VARCHAR)), 1, 12)) AS hash, count(*) - 1 AS collisions FROM permits_new GROUP BY permit),
+o AS (SELECT permit, min(substr(sha256(CAST(to_json([CAST(status AS VARCHAR), CAST(category AS VARCHAR)]) AS VARCHAR)), 1, 12)) AS old_hash FROM permits_old GROUP BY permit)
 SELECT n.permit, hash, collisions, CASE WHEN old_hash IS NULL THEN 'new' WHEN old_hash <> hash THEN 'changed' ELSE 'unchanged' END AS state
 FROM n LEFT JOIN o ON n.permit = o.permit""",
 )
@@ -121,8 +121,8 @@ def identity_hash_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "identity_carry",
     f"""WITH {views.PERMITS},
-n AS (SELECT permit, substr(sha256(status || '|' || category), 1, 12) AS hash FROM permits_new),
-o AS (SELECT permit, substr(sha256(status || '|' || category), 1, 12) AS hash FROM permits_old)
+n AS (SELECT permit, substr(sha256(CAST(to_json([CAST(status AS VARCHAR), CAST(category AS VARCHAR)]) AS VARCHAR)), 1, 12) AS hash FROM permits_new),
+o AS (SELECT permit, substr(sha256(CAST(to_json([CAST(status AS VARCHAR), CAST(category AS VARCHAR)]) AS VARCHAR)), 1, 12) AS hash FROM permits_old)
 SELECT * FROM n UNION ALL SELECT * FROM o WHERE permit NOT IN (SELECT permit FROM n)""",
 )
 def identity_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +155,7 @@ def hash_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "snapshot_hash_compare",
     f"""WITH {views.VIOLATIONS},
-h AS (SELECT v, site, substr(sha256(count(*) || '|' || CAST(sum(CAST(('0x' || substr(sha256(category || '|' || status || '|' || qty || '|' || mon), 1, 15)) AS BIGINT)) AS HUGEINT)), 1, 16) AS hash, count(*) AS n
+h AS (SELECT v, site, substr(sha256(count(*) || '|' || CAST(sum(CAST(('0x' || substr(sha256(CAST(to_json([CAST(category AS VARCHAR), CAST(status AS VARCHAR), CAST(qty AS VARCHAR), CAST(mon AS VARCHAR)]) AS VARCHAR)), 1, 15)) AS BIGINT)) AS HUGEINT)), 1, 16) AS hash, count(*) AS n
   FROM (SELECT 0 AS v, * FROM violations_old UNION ALL SELECT 1, * FROM violations_new) GROUP BY v, site)
 SELECT n.site, n.hash, n.n AS n_rows, CASE WHEN o.hash IS NULL THEN 'baseline' WHEN o.hash <> n.hash THEN 'changed' ELSE 'unchanged' END AS result
 FROM h n LEFT JOIN h o ON n.site = o.site AND o.v = 0 WHERE n.v = 1""",

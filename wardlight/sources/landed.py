@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from wardlight.functions.arrays import bound
+
 
 def envelope_schema(fields: Sequence[str]) -> T.StructType:
     """Schema of one feed response: its records, all text, and whether more remain."""
@@ -122,10 +124,15 @@ def grid_rows(df: DataFrame, html: str, titles: Sequence[str]) -> DataFrame:
     return wide.where(F.coalesce(*[F.nullif(F.col(f"`{t}`"), F.lit("")) for t in titles]).isNotNull())
 
 
-def labelled_blocks(df: DataFrame, text: str, anchor: str, labels: Sequence[str]) -> DataFrame:
-    """Records of text blocks that start with an anchor label; values run to the next label; exactly doubled values count once."""
+def labelled_blocks(df: DataFrame, text: str, anchor: str, labels: Sequence[str], tail: int = 2500) -> DataFrame:
+    """Records of text blocks that start with an anchor label; values run to the next label; exactly doubled values count once.
+
+    A block ends where the next one starts; the last has no next one and ends after ``tail`` characters, so that what follows
+    the records doesn't run into it.
+    """
     rest = [c for c in df.columns if c != text]
-    rows = df.select(*rest, F.posexplode(F.split(text, f"(?={anchor}:)")).alias("n", "block")).where(F.col("block").startswith(f"{anchor}:"))
+    blocks = bound(F.split(text, f"(?={anchor}:)"), lambda b: F.transform(b, lambda x, k: F.when(k == F.size(b) - 1, F.left(x, F.lit(tail))).otherwise(x)))
+    rows = df.select(*rest, F.posexplode(blocks).alias("n", "block")).where(F.col("block").startswith(f"{anchor}:"))
     ends = "|".join(f"{x}:" for x in [anchor, *labels])
 
     def value(label: str) -> Column:

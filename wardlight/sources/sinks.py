@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from wardlight.sources.tables import exists, move, remove
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` by the declared schema: order and types as declared, missing columns null, others dropped."""
@@ -56,9 +58,10 @@ def capture(df: DataFrame, path: str, day: str, last_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/capture_date={day}/batch={last_id}")
 
 
-def feed(pages: DataFrame, path: str) -> None:
-    """Feed rows by page, each page a folder."""
-    pages.repartition("page").sortWithinPartitions("page", "rn").write.mode("overwrite").partitionBy("page").parquet(path)
+def feed(pages: DataFrame, path: str, per_folder: int = 1000) -> None:
+    """Feed rows in order, ``per_folder`` pages a folder, so that a long feed is few files; a page is read by folder and number."""
+    rows = pages.withColumn("pages", F.floor((F.col("page") - 1) / per_folder))
+    rows.repartitionByRange("pages", "rn").sortWithinPartitions("pages", "rn").write.mode("overwrite").partitionBy("pages").parquet(path)
 
 
 def publish(df: DataFrame, path: str, schema: T.StructType, ratio: float = 0.9) -> bool:
@@ -75,8 +78,18 @@ def publish(df: DataFrame, path: str, schema: T.StructType, ratio: float = 0.9)
 
 
 def purge(spark: SparkSession, paths: Sequence[str], schemas: Sequence[T.StructType], ids: DataFrame, key: str = "doc_id") -> None:
-    """Rows of given ids out of every table: each is written beside itself, then in its place."""
+    """Rows of given ids out of every table: each is written beside itself and put in its place by renaming.
+
+    A run that broke off between the two renames left the whole table under ``.old``; the next one puts that back first.
+    """
     for path, schema in zip(paths, schemas, strict=True):
+        old, fresh = f"{path}.old", f"{path}.next"
+        if exists(spark, old) and not exists(spark, path):
+            move(spark, old, path)
         kept = stored(spark, path, schema).join(ids.select(key).distinct(), key, "left_anti")
-        conform(kept, schema).write.mode("overwrite").parquet(f"{path}.next")
-        spark.read.schema(schema).parquet(f"{path}.next").write.mode("overwrite").parquet(path)
+        conform(kept, schema).write.mode("overwrite").parquet(fresh)
+        remove(spark, old)
+        if exists(spark, path):
+            move(spark, path, old)
+        move(spark, fresh, path)
+        remove(spark, old)

@@ -16,21 +16,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    Where the session names none (single-machine tests), a temporary folder is set for it.
+    Where the session names none and runs on one machine (tests), a temporary folder is set for it; a cluster without one is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     kept = spark.sparkContext.getCheckpointDir()
+    if not kept and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not kept:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         kept = spark.sparkContext.getCheckpointDir()
     return kept
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Paths given out by ``scratch``, by application.
+_MADE: dict[str, list[str]] = {}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> bool:
+    """Renames a folder within its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    return place(old).getFileSystem(spark._jsc.hadoopConfiguration()).rename(place(old), place(new))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all intermediate tables that this application has written; for callers that are done with every result."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, so lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

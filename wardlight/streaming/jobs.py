@@ -26,6 +26,7 @@ READING = T.StructType(
 )
 MEASURE = T.StructType([T.StructField(n, t) for n, t in (("oid", T.LongType()), ("station", T.StringType()), ("metric", T.StringType()), ("value", T.DoubleType()), ("unit", T.StringType()), ("as_of", T.StringType()), ("note", T.StringType()))])
 STATUS = T.StructType([T.StructField(n, t) for n, t in (("station", T.StringType()), ("oid", T.LongType()), ("ts", T.TimestampType()), ("h2s", T.DoubleType()), ("ch4", T.DoubleType()), ("severity", T.StringType()))])
+CAPTURE = T.StructType([T.StructField("monitor_id", T.StringType()), T.StructField("timestamp", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in ("h2s_ppb", "ch4_ppm", "wind_direction", "wind_speed", "temp")], T.StructField("oid", T.LongType())])
 ALERT = T.StructType([T.StructField(n, t) for n, t in (("oid", T.LongType()), ("station", T.StringType()), ("line", T.StringType()))])
 
 
@@ -52,7 +53,7 @@ def poll(stream: DataFrame, out: str, checkpoint: str, cap: int = 100_000) -> St
             put = lambda df, name, schema: sinks.conform(df, schema).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
             if not quiet:
                 put(r.digest_rows(r.long_form(batch), {p.metric: p.action for p in (r.H2S, r.CH4)}), "measurements", MEASURE)
-                put(batch, "capture", READING)
+                put(r.captured(batch), "capture", CAPTURE)
             put(r.latest(classed, ["station"], "oid"), "status", STATUS)
             if not quiet:
                 put(r.alert_lines(classed), "alerts", ALERT)
@@ -93,7 +94,7 @@ class Episodes(StatefulProcessor):
         self.open = handle.getValueState("open", T.StructType([T.StructField("oid", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "oid"])
+        batch = pd.concat([part[["ts", "oid", "h2s"]] for part in rows]).sort_values(["ts", "oid"])  # a batch is bounded by the source's files
         values, ids = batch["h2s"].to_numpy(), batch["oid"].to_numpy()
         began = self.open.get()[0] if self.open.exists() else None
         out = []
