@@ -166,13 +166,21 @@ def captured(df: DataFrame, hours: float = 8.0, prefix: str = "MS-") -> DataFram
 
 
 def episodes(df: DataFrame, over: Column, fine: Column) -> DataFrame:
-    """Alert episodes: one opens with a reading over the level and lasts until one that is fine; silence and other readings change nothing."""
-    w = W.partitionBy("station").orderBy("ts", "oid")
-    marked = df.withColumn("_s", F.when(over, 1).when(fine, 0)).where("_s is not null")
-    turned = marked.withColumn("_b", F.coalesce(F.lag("_s").over(w), F.lit(0)))
-    opened = turned.where("_s = 1 and _b = 0 or _s = 0 and _b = 1")
-    ends = opened.withColumn("recovered_oid", F.lead("oid").over(w)).where("_s = 1")
-    return ends.select("station", F.col("oid").alias("opened_oid"), "recovered_oid")
+    """Alert episodes: one opens with a reading over the level and lasts until one that is fine; silence and other readings change nothing.
+
+    Readings are compared within a station's day; what stands before a day and what turns after it comes from a row a day, so
+    no task reads a station's whole history.
+    """
+    day = F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date"))
+    marked = df.withColumn("_s", F.when(over, 1).when(fine, 0)).where("_s is not null").select("station", day.alias("_day"), "ts", "oid", "_s")
+    w, days = W.partitionBy("station", "_day").orderBy("ts", "oid"), W.partitionBy("station").orderBy("_day")
+    ends = marked.groupBy("station", "_day").agg(F.max_by("_s", F.struct("ts", "oid")).alias("_last"))
+    before = ends.select("station", "_day", F.lag("_last").over(days).alias("_before"))
+    turned = marked.join(before, ["station", "_day"]).withColumn("_b", F.coalesce(F.lag("_s").over(w), "_before", F.lit(0))).where("_s <> _b")
+    firsts = turned.groupBy("station", "_day").agg(F.min_by("oid", F.struct("ts", "oid")).alias("_first"))
+    after = firsts.select("station", "_day", F.lead("_first").over(days).alias("_next"))
+    rows = turned.join(after, ["station", "_day"]).withColumn("recovered_oid", F.coalesce(F.lead("oid").over(w), "_next"))
+    return rows.where("_s = 1").select("station", F.col("oid").alias("opened_oid"), "recovered_oid")
 
 
 def silent(df: DataFrame, asof: str, days: int) -> DataFrame:
