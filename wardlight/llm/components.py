@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.sources.tables import written
+from wardlight.sources.tables import remove, scratch
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -24,11 +24,18 @@ def _round(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (least node reachable) of each node that an edge touches and that is not a root.
 
-    Each round is written to the shared folder; the driver sees a count and a hash of it. Edges with
+    Each round is written to the shared folder and the one before deleted; the driver sees a count and a hash of it. Edges with
     a null end or equal ends are no edges. Ends when a round changes nothing; raises after ``rounds``.
     """
     valid = edges.where(F.col(left) != F.col(right))
-    now = written(valid.select(F.greatest(left, right).alias("big"), F.least(left, right).alias("small")).distinct(), "edges")
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch(spark, "edges")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    now, path = kept(valid.select(F.greatest(left, right).alias("big"), F.least(left, right).alias("small")).distinct())
 
     def mark(df: DataFrame) -> tuple:
         # sums of hashes as decimals: no order, no overflow
@@ -38,7 +45,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
     for _ in range(rounds):
         if not before[0]:
             break
-        now = written(_round(now), "edges")
+        last = path
+        now, path = kept(_round(now))
+        remove(spark, last)  # nothing reads it any more
         after = mark(now)
         if after == before:
             break

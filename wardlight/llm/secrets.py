@@ -2,7 +2,7 @@
 
 Patterns give spans (code points, end exclusive): ``split`` leaves what stands between matches and
 ``regexp_extract_all`` the matches, so running lengths are their places. Both are evaluated once a text, and
-running values are taken in parts of ``PART``, so time grows with the text, not with its hits' square. Each span's value is
+running values are taken in parts, so time grows with the text, not with its hits' square. Each span's value is
 hashed, and over the whole corpus a hash has a number of distinct owners and of distinct
 repositories. A varied value with one owner, in few repositories, looks live; one that many
 owners hold is a copied example. Vendor-format tokens are added as spans only where they look
@@ -20,11 +20,10 @@ repository; rows with a null id or owner count as the null one; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.functions.arrays import bound, in_parts, running
 from wardlight.sources.tables import written
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,35 +44,9 @@ VENDOR = (
     r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|" + KEY
 )
 KINDS = ("assign", "access", "hex", "vendor")
-#: Elements of an array that are handled in one go.
-PART = 128
 SPAN = "array<struct<start:int,kind:int,stop:int,digest:string,varied:boolean>>"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of ``value``, which is evaluated once however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def in_parts(array: Column) -> Column:
-    """An array as an array of arrays of ``PART`` elements, the last one shorter."""
-    return bound(array, lambda a: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / PART).cast("int") - 1), lambda k: F.slice(a, k * PART + 1, F.lit(PART))))
-
-
-def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
-    """For each of an array of integers, ``merge`` of 0 and all before it; arrays that grow by copying are short."""
-
-    def before(array: Column, first: Column) -> Column:
-        begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(array, begin, lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-
-    def over(parts: Column) -> Column:
-        whole = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), merge))
-        return F.flatten(F.zip_with(parts, before(whole, F.lit(0)), before))
-
-    return F.when(F.size(values) > 0, bound(in_parts(values), over)).otherwise(F.array().cast("array<int>"))
-
-
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Spans of ``pattern`` in ``text``; for assignments the value is group 2, of 8 characters or more, for key files the body."""
 
