@@ -22,6 +22,7 @@ everything if no row is labelled; repeated rows each get a row; an empty table g
 from __future__ import annotations
 
 import random
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -178,16 +179,21 @@ def fit(samples: list[tuple[list[str], str]], steps: int = 60, rate: float = 0.2
         chains.append(samples[i][0][:p] + samples[j][0][:q])
         truth.append(truth[i][:p] + truth[j][:q])
     types = sorted({w for c in chains for w in c})
-    named = {w: features_of(w) + lexicon.get(w, []) for w in types}
-    seen = Counter(f for w in types for f in set(named[w]))
+
+    def named(w: str) -> list[str]:  # made anew each time: all of them at once are large
+        return features_of(w) + lexicon.get(w, [])
+
+    seen = Counter(f for w in types for f in set(named(w)))
     index = {f: n for n, f in enumerate(sorted(f for f, c in seen.items() if c > 1 or f[0] == "="), 1)}
+    del seen
     number = {w: n for n, w in enumerate(types)}
-    flat, starts = [], []
+    numbers, starts = array("i"), array("q")
     for w in types:
-        starts.append(len(flat))
-        flat += [index[f] for f in named[w] if f in index] + [0]
-    flat, starts = np.array(flat), np.array(starts)
-    owner = np.repeat(np.arange(len(types)), np.diff([*starts, len(flat)]))
+        starts.append(len(numbers))
+        numbers.extend(index[f] for f in named(w) if f in index)
+        numbers.append(0)
+    flat, starts = np.frombuffer(numbers, np.int32), np.frombuffer(starts, np.int64)
+    owner = np.repeat(np.arange(len(types), dtype=np.int32), np.diff([*starts, len(flat)]))
     lengths = np.array([len(c) for c in chains])
     place = np.arange(SPAN)[None, :] < lengths[:, None]
     ids = np.zeros(place.shape, np.int64)
@@ -200,17 +206,20 @@ def fit(samples: list[tuple[list[str], str]], steps: int = 60, rate: float = 0.2
     values = [np.zeros((len(index) + 1, k)), np.zeros((k, k)), np.zeros(k)]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for step in range(1, steps + 1):
-        of_type = np.add.reduceat(values[0][flat], starts, axis=0)
+        of_type = np.stack([np.add.reduceat(values[0][flat, y], starts) for y in range(k)], axis=1)
         post, _, pairs = forward_backward(of_type[ids], lengths, values[1], values[2], pairs=True)
         diff = post
         np.put_along_axis(diff, gold[:, :, None], np.take_along_axis(diff, gold[:, :, None], 2) - 1, 2)
         of_word = np.stack([np.bincount(ids[place], diff[:, :, y][place], len(types)) for y in range(k)], axis=1)
-        of_feature = np.stack([np.bincount(flat, of_word[owner, y], len(index) + 1) for y in range(k)], axis=1)
+        of_feature = np.empty_like(values[0])
+        for y in range(k):
+            of_feature[:, y] = np.bincount(flat, of_word[owner, y], len(index) + 1)
         slopes = [of_feature, pairs - gold_move, diff[:, 0].sum(axis=0)]
         for v, g, m, s in zip(values, slopes, first, second, strict=True):
             g = g / total + decay * v
             m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
+            g *= g
+            s += 0.01 * (g - s)
             v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
     return Crf(languages, index, lexicon, values[0].astype(np.float32), values[1].astype(np.float32), values[2].astype(np.float32))
 
