@@ -230,11 +230,12 @@ def fold(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows: int = 600, rows: int = 20_000, steps: int = 40) -> Crf | None:
-    """A model of the rows of folds 0, 1 and 3 with a label; at most ``per_language`` rows and ``windows`` windows a language, and ``rows`` rows in all."""
+    """A model of the rows of folds 0, 1 and 3 with a label; at most ``per_language`` rows and ``windows`` windows a language, and ``rows`` rows in all (so as many languages, the most frequent)."""
     learn = docs.where((fold(id_col) != 2) & F.coalesce(F.col(lang_col) != OTHER, F.lit(False)))
     drawn = learn.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit("langid"), F.col(id_col)).alias("h"))
     # by hash about twice as many rows of a language as are needed, then the least of these
-    wide = drawn.join(drawn.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.pmod("h", F.lit(2**40)) < 2.0 * (per_language + 50) / F.col("n") * 2**40)
+    counts = drawn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows)
+    wide = drawn.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(2**40)) < 2.0 * (per_language + 50) / F.col("n") * 2**40)
     nth = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(2**40)), "id"))
     taken = wide.withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("nth", "h", "id", "lang").limit(rows)
     ids = [r.id for r in taken.select("id").collect()]
