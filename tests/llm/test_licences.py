@@ -71,7 +71,7 @@ def test_every_template_is_found_in_place_and_with_words_changed():
             inserted.insert(free[len(free) // 2], b"inserted")
             assert index.found(inserted)[t.label] > 0.99
             lost = [w for k, w in enumerate(t.words) if k != free[-1]]
-            assert 0.5 < index.found(lost)[t.label] <= 1
+            assert 0.5 < index.found(lost)[t.label] < 1 + 1e-9  # sums of floats; scan cuts at 1
         shuffled = list(t.words)
         rng.shuffle(shuffled)
         assert len(t.words) < 12 or t.label not in index.found(shuffled)
