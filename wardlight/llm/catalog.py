@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import langid, licences, media, mixing, neighbours, pages, pieces, secrets, simhash, toxicity
-from wardlight.sources.tables import table
+from wardlight.llm import centroids, filteraudit, langid, licences, media, mixing, neighbours, pages, pieces, secrets, simhash, tokenfiles, toxicity
+from wardlight.sources.tables import scratch, table
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_token_parquet(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    path = scratch(spark, "token-files")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer)
+    return tokenfiles.checksums(tokenfiles.read_tokens(spark, path))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.document_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_pivot_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
     "op3_simhash_groups": op3_simhash_groups,
@@ -73,6 +87,14 @@ QUERIES = {
     "op10_licence_index": op10_licence_index,
     "op8_toxicity": op8_toxicity,
     "op9_secret_ownership": op9_secret_ownership,
+    "op11_token_parquet": op11_token_parquet,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_pivot_centroids": op13_pivot_centroids,
 }
 
-SQL: dict[str, str] = {"op7_mix_sources": mixing.ORACLE_SQL, "op9_secret_ownership": secrets.ORACLE_SQL}
+SQL: dict[str, str] = {
+    "op7_mix_sources": mixing.ORACLE_SQL,
+    "op9_secret_ownership": secrets.ORACLE_SQL,
+    "op12_filter_audit": filteraudit.ORACLE_SQL,
+    "op13_pivot_centroids": centroids.ORACLE_SQL,
+}
