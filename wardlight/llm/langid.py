@@ -1,6 +1,6 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word (letters and marks of any script) has as features itself (where training knows it), its affixes of up to
+A word (a letter of any script with the letters and marks behind it) has as features itself (where training knows it), its affixes of up to
 four letters, all its letter pairs and triples, and the languages in whose lexicon it stands: those in which at
 least two training windows have it, and four fifths of all that have it. Each feature has a weight for each
 language, and each pair of languages a learned transition. Forward-backward gives each word's probabilities, so
@@ -15,8 +15,8 @@ of least hash, and ``rows`` rows in all, evenly by language (a bounded sample, s
 the table), and splices some windows of different languages so that switches occur. Scoring takes every word of
 every text, in windows of 64 words.
 
-Cases: null texts and texts without a letter (numbers such as one half are none) are ``und`` with score 0, and so is
-everything if no row is labelled; repeated rows each get a row; an empty table gives no rows.
+Cases: null texts and texts without a letter (numbers such as one half, emoji and marks alone are none) are ``und`` with score 0, and so is
+everything if no row is labelled; the empty text is no label (it names ``OTHER``); repeated rows each get a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-WORD = regex.compile(r"[\p{L}\p{M}]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")  # a mark alone (of an emoji, a keycap) is no word
 SPAN = 64
 #: Label of what is in none of the languages.
 OTHER = ""

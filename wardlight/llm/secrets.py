@@ -85,11 +85,11 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, owners: int = 1, repositories: int | None = 10) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, owners: int = 1, repositories: int | None = None) -> DataFrame:
     """Per row: ``id_col``, ``owner``, ``text_key`` (hash of the text), ``spans`` (base spans, and vendor ones that look live) with ``live`` and ``copied`` in each.
 
-    A value looks live with at most ``owners`` owners and ``repositories`` repositories (by default a
-    repository is an id; None sets no bound); it is copied with more owners than that.
+    A value looks live with at most ``owners`` owners, in however many of their repositories (by default a repository is an
+    id; ``repositories`` sets a bound); it is copied with more owners than that.
     """
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -160,7 +160,7 @@ def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """``docs`` with the spans that look live masked in ``text_col``, in however many documents their one owner has them; all else stays."""
     live = F.filter("spans", lambda s: s["live"])
-    found = scan(docs, id_col, text_col, owner_col, repositories=None).select(F.col(id_col).alias("_id"), F.col("owner").alias("_owner"), F.col("text_key").alias("_key"), live.alias("_live"))
+    found = scan(docs, id_col, text_col, owner_col).select(F.col(id_col).alias("_id"), F.col("owner").alias("_owner"), F.col("text_key").alias("_key"), live.alias("_live"))
     found = found.where(F.size("_live") > 0).distinct()
     rows = docs.select(F.struct("*").alias("_row"))  # so that no column of theirs clashes
     number, owner, text = (F.col("_row")[c] for c in (id_col, owner_col, text_col))
@@ -182,8 +182,8 @@ SQL_VENDOR = VENDOR.removesuffix(KEY) + KEY_LINE % "BEGIN"
 ORACLE_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 raw AS ({" UNION ALL ".join(_kind_sql(k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, SQL_VENDOR)))}),
 spans AS (SELECT doc_id, source, kind, start, start + size AS stop, sha256(value) AS digest, len(list_distinct(string_split(value, ''))) >= 8 AS varied FROM raw WHERE kind > 0 OR length(value) >= 8),
-own AS (SELECT digest, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || '|' || doc_id) AS repositories FROM spans GROUP BY digest),
-judged AS (SELECT s.*, varied AND owners <= 1 AND repositories <= 10 AS live, owners > 1 AS copied, ['assign', 'access', 'hex', 'vendor'][kind + 1] || ':' || start || ':' || stop AS shown FROM spans s JOIN own o ON s.digest = o.digest),
+own AS (SELECT digest, count(DISTINCT coalesce(source, chr(1))) AS owners FROM spans GROUP BY digest),
+judged AS (SELECT s.*, varied AND owners <= 1 AS live, owners > 1 AS copied, ['assign', 'access', 'hex', 'vendor'][kind + 1] || ':' || start || ':' || stop AS shown FROM spans s JOIN own o ON s.digest = o.digest),
 sums AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   coalesce(string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(shown, ',' ORDER BY start, kind) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
   FROM judged WHERE kind < 3 OR live GROUP BY doc_id)
