@@ -64,9 +64,9 @@ def well_measurements(readings: DataFrame) -> DataFrame:
 
 
 def well_summary(readings: DataFrame, listed: DataFrame | None = None) -> DataFrame:
-    """Per well over valid readings: hottest one with its date and gases (the first of ties), largest oxygen, count."""
+    """Per well over valid readings: hottest one with its date and gases (the first of ties by document and line), largest oxygen, count."""
     good = readings.where(F.col("valid") & ~F.col("adj"))
-    hottest = F.max(F.when(F.col("temp").isNotNull(), F.struct("temp", (-F.col("line_no")).alias("_neg"), "dt", "o2", "ch4")))
+    hottest = F.min(F.when(F.col("temp").isNotNull(), F.struct((-F.col("temp")).alias("_neg"), "doc", "line_no", "temp", "dt", "o2", "ch4")))
     rows = good.groupBy("well_id").agg(hottest.alias("h"), F.max("o2").alias("max_o2"), F.count("*").alias("n"))
     rows = rows.select("well_id", F.col("h.temp").alias("max_temp"), F.col("h.dt").alias("dt"), F.col("h.o2").alias("o2_at_max"), F.col("h.ch4").alias("ch4_at_max"), "max_o2", "n")
     if listed is None:

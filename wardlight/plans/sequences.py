@@ -23,7 +23,7 @@ def well_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUMMARY = """good AS (SELECT * FROM wells WHERE valid AND NOT adj),
-top AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY well_id ORDER BY temp DESC, line_no) = 1),
+top AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY well_id ORDER BY temp DESC, doc, line_no) = 1),
 agg AS (SELECT well_id, max(o2) AS max_o2, count(*) AS n FROM good GROUP BY well_id),
 summary AS (SELECT t.well_id, t.temp AS max_temp, t.dt, t.o2 AS o2_at_max, t.ch4 AS ch4_at_max, max_o2, n FROM top t JOIN agg a ON t.well_id = a.well_id)"""
 
