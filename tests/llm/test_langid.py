@@ -93,3 +93,38 @@ def test_fold_equals_zlib(spark):
     ids = spark.range(50).select("id", langid.fold("id").alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 4 for r in ids)
     assert spark.sql("select cast(null as long) id").select(langid.fold("id")).first()[0] == 0
+
+
+def test_marks_without_a_letter_are_no_words():
+    assert langid.words_of("\u2764\ufe0f 1\ufe0f\u20e3 \u0301 12 \u00bd \U0001f44d\U0001f3fd") == []
+    assert langid.words_of("\u0301a\u0301b e\u0301te\u0301 9th") == ["a\u0301b", "e\u0301te\u0301", "th"]
+
+
+def test_whole_query_equals_a_plain_version(spark):
+    """Labels of short texts by enumeration of all label sequences."""
+    a, b = [f"ka{x}{y}ri" for x in "aeiou" for y in "bdg"], [f"zo{x}{y}mu" for x in "lmn" for y in "pqrst"]
+    rows = [(k, " ".join((a if k % 2 else b)[k % 7 : k % 7 + 6]), "a" if k % 2 else "b") for k in range(40)]
+    rows += [(100 + k, t, None) for k, t in enumerate([None, "", "12 3", "\u2764\ufe0f 1\ufe0f\u20e3", " ".join(a[:3] + b[:2]), a[4], "qqq xyz", b[0] + " \u2764\ufe0f"])]
+    rows += [(7, "no label", ""), (None, a[0], None), (200, b[3], "b"), (200, b[3], "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs)
+    assert model.languages == ["a", "b", langid.OTHER]
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.identify(docs, model, keep=("text",)).collect()}
+    assert len(got) == len(set(rows))
+    for i, text, _ in rows:
+        words = [w for w in "".join(c if c.isalpha() else " " for c in text or "").split()]
+        if not words:
+            assert got[i, text] == ("und", 0.0)
+            continue
+        emission, k = model.emissions(words), 3
+        total, paths = np.zeros((len(words), k)), list(itertools.product(range(k), repeat=len(words)))
+        logs = np.array([float(model.begin[p[0]]) + sum(float(emission[t, y]) for t, y in enumerate(p)) + sum(float(model.move[y, z]) for y, z in itertools.pairwise(p)) for p in paths])
+        for path, w in zip(paths, np.exp(logs - logs.max()), strict=True):
+            for t, y in enumerate(path):
+                total[t, y] += w
+        mean = (total / total.sum(axis=1, keepdims=True)).mean(axis=0)
+        if abs(mean[0] - mean[1]) > 1e-4:
+            assert got[i, text][0] == model.languages[int(mean[:2].argmax())], text
+        assert abs(got[i, text][1] - min(1, mean[:2].max())) < 1e-4
+    bare = docs.withColumn("lang", langid.F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.identify(bare, langid.train(bare)).collect()} == {"und"}

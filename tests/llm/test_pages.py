@@ -58,6 +58,40 @@ def test_odd_markup(text, want):
     assert pages.main_text(text) == want
 
 
+OTHERS = [
+    '<section id="comments"><h2>Comments</h2><p>A reader has written this here, at some length.</p></section>',
+    '<div class="comment-list"><h3>3 replies</h3><div class=comment><p>First of them.</p></div></div>',
+    '<div class="newsletter"><h3>Subscribe</h3><p>Get our letter each week, it is free.</p></div>',
+    '<div class="ad"><h4>Buy now</h4><p>A thing that you need, for less.</p></div>',
+    '<div class="cookie-notice"><h4>We use cookies</h4><p>Say yes to them.</p></div>',
+    '<div class="related"><h3>Related</h3><ul><li><a href=1>One more story</a></li><li><a href=2>Another one</a></li></ul></div>',
+]
+
+
+@pytest.mark.parametrize("holder", ["article", "main", "div"])
+@pytest.mark.parametrize("other", OTHERS)
+def test_boilerplate_with_headings_goes(holder, other):
+    text = f"<h1>Title</h1><p>{LONG}</p><p>{LONG} Two.</p><h2>Part</h2><p>{LONG} Three.</p><p>{LONG} Four.</p>"
+    want = f"Title\n\n{LONG}\n\n{LONG} Two.\n\nPart\n\n{LONG} Three.\n\n{LONG} Four."
+    for body in (f"<{holder}>{text}{other}</{holder}>", f"<{holder}>{text.replace('<h2>', other + '<h2>')}</{holder}>", f"<{holder}>{text}</{holder}>{other}", f"{other}<{holder}>{text}</{holder}>"):
+        assert pages.main_text(page(LINKS, body, "<footer>us</footer>")) == want
+
+
+def test_many_comments_and_comments_alone():
+    comment = f'<div class="comment"><h4>Reader</h4><p>{LONG} {LONG}</p></div>'
+    assert pages.main_text(page(f"<article><h1>Title</h1><p>{LONG}</p><section id=comments>{comment * 9}</section></article>")) == f"Title\n\n{LONG}"
+    assert pages.main_text(page(f'<div class="comments">{comment}</div>')) == ""
+    assert pages.main_text(page(f"<p id=comment-count>{LONG}</p><p>{LONG}</p>")) != ""
+
+
+def test_lists_of_sources_stay():
+    sources = "<ul><li><a href=1>First source of this</a></li><li><a href=2>Second source of this</a></li><li><a href=3>Third source of this</a></li></ul>"
+    lines = "First source of this\n\nSecond source of this\n\nThird source of this"
+    for holder in ("article", "main", "div"):
+        assert pages.main_text(page(f"<{holder}><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>{sources}<p>{LONG}</p></{holder}>")) == f"{LONG}\n\n{LONG}\n\n{LONG}\n\n{lines}\n\n{LONG}"
+        assert pages.main_text(page(f"<{holder}><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><h2>Sources</h2>{sources}</{holder}>")) == f"{LONG}\n\n{LONG}\n\n{LONG}\n\nSources\n\n{lines}"
+
+
 LINKS = "<div class=q1><div><a href=1>Home</a></div><div><a href=2>News</a></div><div><a href=3>About us</a></div><div><a href=4>Contact</a></div></div>"
 PLAIN = [
     (f"{LINKS}<div class=q2>Buy a thing today.</div><div class=q3><h1>Head</h1>{{}}</div><div class=q4>(c) us, <a href=5>terms</a></div>", 6),

@@ -74,6 +74,9 @@ FILLERS = frozenset(
     "slot small sticky text the this thread to top unit user view widget widgets wrap wrapper".split()
 )
 
+#: Marks of what readers write; such elements are never text, even where class names tell nothing else.
+READERS = frozenset("comment comments disqus reply replies respond".split())
+
 #: Whole class names and ids of heads; inside an article they may hold its title.
 HEADS = frozenset("header site-header page-header site_header page_header masthead topbar".split())
 
@@ -101,8 +104,13 @@ def speaks(token: str) -> bool:
     return any(w in MARKS for w in words) and all(w in MARKS or w in FILLERS for w in words)
 
 
+def of_readers(token: str) -> bool:
+    """Whether a class name speaks of readers' comments."""
+    return speaks(token) and any(w.lower() in READERS for w in PART.findall(token))
+
+
 def unwanted(name: str, attributes: str, inside: bool = False, by_name: bool = True) -> tuple[bool, bool]:
-    """Whether an element is never text by its kind, role or state, and whether it is doubtful by its kind, class or id.
+    """Whether an element is never text by its kind, role or state (or as readers' comments), and whether it is doubtful by its kind, class or id.
 
     Names of heads aren't doubtful ``inside`` an article or main element.
     """
@@ -116,8 +124,9 @@ def unwanted(name: str, attributes: str, inside: bool = False, by_name: bool = T
             cut, doubt = cut or low in ROLES - {"form", "banner"}, doubt or low in ("form", "banner")
         elif key == "hidden" or (key == "style" and "display:none" in low.replace(" ", "")):
             cut = True
-        elif by_name and key in ("class", "id"):
-            doubt = doubt or any(speaks(x) and not (inside and x.lower() in HEADS) for x in value.split())
+        elif key in ("class", "id"):
+            cut = cut or (name not in HEADINGS and any(map(of_readers, value.split())))
+            doubt = doubt or by_name and any(speaks(x) and not (inside and x.lower() in HEADS) for x in value.split())
     return cut, doubt
 
 
@@ -288,6 +297,26 @@ def leads(node: Node) -> bool:
     return node.heads > 0 and 2 * node.link_chars <= node.chars
 
 
+def at_edge(node: Node, over: Node) -> bool:
+    """Whether a list of links stands before all text of ``over``, or behind all of it without a heading of its own."""
+    ahead = behind = False
+    last: Node | str | None = None  # what stands right before
+    while node is not over:
+        before = True
+        nearest: Node | str | None = None
+        for c in node.parent.children:
+            if c is node:
+                before = False
+            elif (c.strip() if type(c) is str else not c.cut and c.chars):
+                if before:
+                    ahead, nearest = True, c
+                else:
+                    behind = True
+        last = last or nearest
+        node = node.parent
+    return not ahead or (not behind and not (type(last) is Node and last.name in HEADINGS))
+
+
 def holder(node: Node, root: Node) -> Node:
     """From a part of a text to what holds it."""
     while node.name in PARTS and node is not root:
@@ -325,7 +354,7 @@ def chosen(root: Node) -> tuple[set[int], set[int]]:
             elif not c.cut and c.chars:
                 title = before and 2 * c.link_chars <= c.chars and (c.name == "h1" or (c.name in HEADINGS and above is not root))
                 head = before and c.name == "header" and above is not root and leads(c)
-                if title or head or (within and not c.doubt and c.density > 0) or (c.name != "header" and passes(c)):
+                if title or head or (within and not c.doubt and c.density > 0) or (c.name != "header" and not c.doubt and passes(c)):
                     taken.add(id(c))
     if top is root:
         dropped |= {id(c) for c in containers if c.name == "header" or (c.name in BLOCK and own and not passes(c))}
@@ -338,9 +367,9 @@ def chosen(root: Node) -> tuple[set[int], set[int]]:
         if over is None or id(node) in dropped:
             continue
         if node is not over and 2 * node.chars < over.chars:
-            menu = node.name in BLOCK and node.link_tags >= 3 and 5 * node.link_chars >= 4 * node.chars
+            menu = node.name in BLOCK and node.link_tags >= 3 and 5 * node.link_chars >= 4 * node.chars and at_edge(node, over)
             reader = node.name == "article" and id(node) in nested  # an article inside an article is a comment on it
-            if menu or reader or (not leads(node) and (node.name == "header" or (node.doubt and node.name not in HEADINGS))):
+            if menu or reader or (node.name == "header" and not leads(node)) or (node.doubt and node.name not in HEADINGS and not (node.name == "header" and leads(node))):
                 dropped.add(id(node))
                 continue
         under[id(node)] = over
