@@ -23,6 +23,7 @@ any name may be kept, as they lie in ``meta``; texts of any length are encoded w
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -41,6 +42,8 @@ from tokenizers import Tokenizer
 UNIT = re.compile(r" (?=\S)")
 #: And, within that: after a letter or number before punctuation, and before and after a line end that stands alone.
 FINE = re.compile(r"(?<=[^\W_])(?=[^\w\s'])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: Punctuation that is cut off the end of a unit.
+TAIL = ".,;:!?)]}\"$%&*#|@"
 #: Longest piece that is remembered.
 LONGEST = 64
 #: Documents that a task turns into a batch of ids at once.
@@ -73,60 +76,79 @@ class Layout:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers; at most 2 x ``remembered`` units and as many pieces are kept."""
+    """Ids of texts as little-endian 32-bit numbers; about 2 x ``remembered`` units and as many pieces of them are kept."""
 
-    def __init__(self, path: str, remembered: int = 150_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         self.library = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, dict[str, bytes]] = {"units": {}, "pieces": {}}
+        #: Ids of units with and without a space before them.
+        self.units: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         model = self.library.pre_tokenizer
         if not str(model).startswith("ByteLevel(add_prefix_space=False") or "use_regex=True" not in str(model) or self.library.normalizer is not None:
             raise ValueError(f"{path}: only byte-level tokenizers without a normalizer or a leading space are supported")
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text; strings of special tokens in it are those tokens, as the library has it."""
-        if self.specials is None or not self.specials.search(text):
-            return self.plain(text)
-        return b"".join(self.special.get(x) or self.plain(x) for x in self.specials.split(text))
-
-    def plain(self, text: str) -> bytes:
-        known, look = self.units, self.unit
-        first, *rest = UNIT.split(text)
-        found = [look(first)]
-        for x in rest:
-            found.append(known.get(x := " " + x) or look(x))
-            known = self.units
-        return b"".join(found)
-
-    def unit(self, text: str) -> bytes:
-        return self._kept("units", text, lambda: b"".join(map(self.piece, FINE.split(text))))
-
-    def piece(self, text: str) -> bytes:
-        return self._kept("pieces", text, lambda: np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-
-    def _kept(self, kind: str, text: str, make) -> bytes:
-        known = getattr(self, kind)
-        ids = known.get(text)
-        if ids is None:
-            ids = self.older[kind].get(text)
-            if ids is None:
-                ids = make()
-            if len(text) <= LONGEST:
-                if len(known) >= self.remembered:
-                    self.older[kind] = known
-                    known = {}
-                    setattr(self, kind, known)
-                known[text] = ids
-        return ids
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of each text; strings of special tokens in it are those tokens, as the library has it."""
+        found, plain = [], []
+        for text in texts:
+            parts = self.specials.split(text) if self.specials and self.specials.search(text) else [text]
+            found.append(parts)
+            plain += parts[::2]
+        ids = iter(self.plain(plain))
+        return [b"".join(self.special[x] if k % 2 else next(ids) for k, x in enumerate(parts)) for parts in found]
+
+    def plain(self, texts: Sequence[str]) -> list[bytes]:
+        lists = [UNIT.split(t) for t in texts]
+        firsts, rest = {units[0] for units in lists}, set()
+        for units in lists:
+            rest.update(units[1:])
+        bare, spaced = self._of_units(firsts, ""), self._of_units(rest, " ")
+        found = [b"".join([bare[units[0]], *map(spaced.__getitem__, units[1:])]) for units in lists]
+        for known, seen in ((bare, firsts), (spaced, rest)):
+            for u in seen:
+                if len(u) > LONGEST:
+                    del known[u]
+        return found
+
+    def _of_units(self, units: set[str], lead: str) -> dict[str, bytes]:
+        known = self.units[lead]
+        new = units - known.keys()
+        if len(known) + len(new) > self.remembered:
+            self.units[lead] = known = {u: known[u] for u in units & known.keys()}
+        cut = {u: pieces_of(lead + u) for u in new}
+        ids = self._of_pieces({p for parts in cut.values() for p in parts})
+        known.update((u, ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts))) for u, parts in cut.items())
+        return known
+
+    def _of_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        new = pieces - self.young.keys()
+        if len(self.young) + len(new) > self.remembered:
+            self.old, self.young = self.young, {p: self.young[p] for p in pieces & self.young.keys()}
+            new = pieces - self.young.keys()
+        again = {p: self.old[p] for p in new & self.old.keys()}
+        missing = list(new - again.keys())
+        made = self.library.encode_batch_fast(missing, add_special_tokens=False)
+        again.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(missing, made, strict=True))
+        self.young.update((p, ids) for p, ids in again.items() if len(p) <= LONGEST)
+        return self.young if all(len(p) <= LONGEST for p in pieces) else self.young | again
+
+
+def pieces_of(unit: str) -> list[str]:
+    """A unit cut where its pretokens end in any context: before punctuation at its end, and around a line end."""
+    if "\n" in unit:
+        return FINE.split(unit)
+    core = unit.rstrip(TAIL)
+    return [core, unit[len(core) :]] if len(core) < len(unit) and core[-1:].isalnum() else [unit]
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker."""
+    """One encoder for all tasks of a worker, in its one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
@@ -143,7 +165,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
         for batch in (whole.slice(k, STEP) for whole in batches for k in range(0, whole.num_rows, STEP)):
-            raw = [encode(text or "") + close for text in batch.column("text").to_pylist()]
+            raw = [ids + close for ids in encode([text or "" for text in batch.column("text").to_pylist()])]
             sizes = np.array([len(r) // 4 for r in raw], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
