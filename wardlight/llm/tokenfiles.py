@@ -11,9 +11,9 @@ reads a few pages, and ``doc_id``, lengths or ``meta`` are read without touching
 A table ``parts`` beside the files has a row for each file: its ids, documents, first and last document and where it
 starts among all ids. Starts of documents are sums of both, so the texts are encoded once and the files written once.
 
-Encoding is the tokenizers library's. Its pretokenizer always cuts before a space that a non-space follows, between a letter
-and punctuation other than an apostrophe, and around a lone line end; so texts are cut there, and the pieces that the
-library has encoded are remembered, in bounded number. Tests compare with the library on whole texts.
+Encoding is the tokenizers library's. Its pretokenizer cuts at certain places whatever stands around (``PIECE``), so texts are cut
+there, and the pieces that the library has encoded are remembered, in bounded number. Tests compare with the library on
+whole texts.
 
 Cases: null and empty texts hold the end id alone; rows with one id stand beside each other in the order of their texts'
 hashes, those without an id first; repeated rows each get a row; an empty table gives empty files and no rows; columns of
@@ -26,6 +26,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -38,12 +39,12 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-#: Where byte-level pretokenizers cut in any context: before a space with a non-space behind it (the space goes to what follows).
-UNIT = re.compile(r" (?=\S)")
-#: And, within that: after a letter or number before punctuation, and before and after a line end that stands alone.
-FINE = re.compile(r"(?<=[^\W_])(?=[^\w\s'])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-#: Punctuation that is cut off the end of a unit.
-TAIL = ".,;:!?)]}\"$%&*#|@"
+#: White space as byte-level pretokenizers know it, and punctuation that may follow a word.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+MARKS = r".,;:!?)\]}\"$%&*#|@"
+#: Pieces of a text whose ends are cuts of the pretokenizer in any context: a word before a mark or white space, marks before white
+#: space, what else holds together, white space up to its last character, and that one. A space goes with what follows.
+PIECE = re.compile(rf" ?[^\W_]++(?=[{MARKS}{SPACE}]|\Z)| ?[{MARKS}]++(?=[{SPACE}]|\Z)| ?[^{SPACE}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: Longest piece that is remembered.
 LONGEST = 64
 #: Documents that a task turns into a batch of ids at once.
@@ -76,13 +77,11 @@ class Layout:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers; about 2 x ``remembered`` units and as many pieces of them are kept."""
+    """Ids of texts as little-endian 32-bit numbers; about 2 x ``remembered`` pieces are kept."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         self.library = Tokenizer.from_file(path)
         self.remembered = remembered
-        #: Ids of units with and without a space before them.
-        self.units: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
@@ -102,47 +101,30 @@ class Encoder:
         return [b"".join(self.special[x] if k % 2 else next(ids) for k, x in enumerate(parts)) for parts in found]
 
     def plain(self, texts: Sequence[str]) -> list[bytes]:
-        lists = [UNIT.split(t) for t in texts]
-        firsts, rest = {units[0] for units in lists}, set()
-        for units in lists:
-            rest.update(units[1:])
-        bare, spaced = self._of_units(firsts, ""), self._of_units(rest, " ")
-        found = [b"".join([bare[units[0]], *map(spaced.__getitem__, units[1:])]) for units in lists]
-        for known, seen in ((bare, firsts), (spaced, rest)):
-            for u in seen:
-                if len(u) > LONGEST:
-                    del known[u]
+        lists = list(map(PIECE.findall, texts))
+        seen = set().union(*lists)
+        known = self.known(seen)
+        found = [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
+        for p in seen:
+            if len(p) > LONGEST:
+                known.pop(p)
         return found
 
-    def _of_units(self, units: set[str], lead: str) -> dict[str, bytes]:
-        known = self.units[lead]
-        new = units - known.keys()
-        if len(known) + len(new) > self.remembered:
-            self.units[lead] = known = {u: known[u] for u in units & known.keys()}
-        cut = {u: pieces_of(lead + u) for u in new}
-        ids = self._of_pieces({p for parts in cut.values() for p in parts})
-        known.update((u, ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts))) for u, parts in cut.items())
-        return known
-
-    def _of_pieces(self, pieces: set[str]) -> dict[str, bytes]:
-        new = pieces - self.young.keys()
-        if len(self.young) + len(new) > self.remembered:
-            self.old, self.young = self.young, {p: self.young[p] for p in pieces & self.young.keys()}
-            new = pieces - self.young.keys()
-        again = {p: self.old[p] for p in new & self.old.keys()}
-        missing = list(new - again.keys())
+    def known(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of at least the ``pieces``; those that the library hasn't encoded lately it encodes at once."""
+        young = self.young
+        new = pieces - young.keys()
+        if len(young) + len(new) > self.remembered:
+            self.old, self.young = young, {p: young[p] for p in pieces & young.keys()}
+            young = self.young
+        old = self.old
+        missing = [p for p in new if p not in old]
+        for p in new:
+            if p in old:
+                young[p] = old[p]
         made = self.library.encode_batch_fast(missing, add_special_tokens=False)
-        again.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(missing, made, strict=True))
-        self.young.update((p, ids) for p, ids in again.items() if len(p) <= LONGEST)
-        return self.young if all(len(p) <= LONGEST for p in pieces) else self.young | again
-
-
-def pieces_of(unit: str) -> list[str]:
-    """A unit cut where its pretokens end in any context: before punctuation at its end, and around a line end."""
-    if "\n" in unit:
-        return FINE.split(unit)
-    core = unit.rstrip(TAIL)
-    return [core, unit[len(core) :]] if len(core) < len(unit) and core[-1:].isalnum() else [unit]
+        young.update(zip(missing, (array("I", e.ids).tobytes() for e in made), strict=True))
+        return young
 
 
 @functools.lru_cache(maxsize=2)
