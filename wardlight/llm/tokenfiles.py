@@ -48,7 +48,7 @@ PIECE = re.compile(rf" ?[^\W_]++(?=[{MARKS}{SPACE}]|\Z)| ?[{MARKS}]++(?=[{SPACE}
 #: Longest piece that is remembered.
 LONGEST = 64
 #: Documents that a task turns into a batch of ids at once.
-STEP = 256
+STEP = 64
 
 
 @dataclass(frozen=True)
@@ -102,20 +102,18 @@ class Encoder:
 
     def plain(self, texts: Sequence[str]) -> list[bytes]:
         lists = list(map(PIECE.findall, texts))
-        seen = set().union(*lists)
-        known = self.known(seen)
+        known, long = self.known(set().union(*lists))
         found = [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
-        for p in seen:
-            if len(p) > LONGEST:
-                known.pop(p)
+        for p in long:
+            del known[p]
         return found
 
-    def known(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of at least the ``pieces``; those that the library hasn't encoded lately it encodes at once."""
+    def known(self, pieces: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of at least the ``pieces``, and those of them that are too long to keep; what the library hasn't encoded lately it encodes at once."""
         young = self.young
-        new = pieces - young.keys()
+        new = [p for p in pieces if p not in young]  # a difference with the dictionary's keys would walk through all of them
         if len(young) + len(new) > self.remembered:
-            self.old, self.young = young, {p: young[p] for p in pieces & young.keys()}
+            self.old, self.young = young, {p: young[p] for p in pieces if p in young}
             young = self.young
         old = self.old
         missing = [p for p in new if p not in old]
@@ -124,7 +122,7 @@ class Encoder:
                 young[p] = old[p]
         made = self.library.encode_batch_fast(missing, add_special_tokens=False)
         young.update(zip(missing, (array("I", e.ids).tobytes() for e in made), strict=True))
-        return young
+        return young, [p for p in missing if len(p) > LONGEST]
 
 
 @functools.lru_cache(maxsize=2)
