@@ -23,10 +23,8 @@ any name may be kept, as they lie in ``meta``; texts of any length are encoded w
 from __future__ import annotations
 
 import functools
-import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -39,12 +37,15 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-#: White space as byte-level pretokenizers know it, and punctuation that may follow a word.
+#: White space as byte-level pretokenizers know it, letters and figures that any version of Unicode has as such, and marks that may follow a word.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ʯЀ-ҁҊ-ԯ"
 MARKS = r".,;:!?)\]}\"$%&*#|@"
 #: Pieces of a text whose ends are cuts of the pretokenizer in any context: a word before a mark or white space, marks before white
 #: space, what else holds together, white space up to its last character, and that one. A space goes with what follows.
-PIECE = re.compile(rf" ?[^\W_]++(?=[{MARKS}{SPACE}]|\Z)| ?[{MARKS}]++(?=[{SPACE}]|\Z)| ?[^{SPACE}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+PIECE = re.compile(rf" ?[{LETTERS}]++(?=[ .,\n])| ?[{LETTERS}0-9]++(?![^{MARKS}{SPACE}])| ?[{MARKS}]++(?![^{SPACE}])| ?[^{SPACE}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+#: A word alone, which the pretokenizer leaves whole.
+WORD = re.compile(f" ?[{LETTERS}]+")
 #: Longest piece that is remembered.
 LONGEST = 64
 #: Documents that a task turns into a batch of ids at once.
@@ -60,7 +61,7 @@ class Layout:
     page: int = 256 << 10
     page_rows: int = 2_000
     file_rows: int = 1_000_000
-    codec: str = "zstd"
+    codec: str = "snappy"
 
     def options(self) -> dict[str, str]:
         if self.ids not in ("dictionary", "delta"):
@@ -76,59 +77,60 @@ class Layout:
         } | {f"parquet.enable.dictionary#{c}": "false" for c in packed}
 
 
+def byte_characters() -> dict[int, str]:
+    """The visible character that byte-level vocabularies have for each byte: itself if it is printable Latin-1, else the next one from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class Pieces(dict):
+    """Ids of pieces by the library; the last ``remembered`` and as many before them are kept."""
+
+    def __init__(self, library: Tokenizer, remembered: int):
+        self.library, self.model, self.shown = library, library.model, byte_characters()
+        self.remembered, self.old = remembered, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece) or self.made(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= self.remembered:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def made(self, piece: str) -> bytes:
+        if WORD.fullmatch(piece):  # straight to the library's model: nothing of it needs to be cut
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+        else:
+            ids = self.library.encode(piece, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers; about 2 x ``remembered`` pieces are kept."""
+    """Ids of texts as little-endian 32-bit numbers."""
 
     def __init__(self, path: str, remembered: int = 400_000):
         self.library = Tokenizer.from_file(path)
-        self.remembered = remembered
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
-        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         model = self.library.pre_tokenizer
         if not str(model).startswith("ByteLevel(add_prefix_space=False") or "use_regex=True" not in str(model) or self.library.normalizer is not None:
             raise ValueError(f"{path}: only byte-level tokenizers without a normalizer or a leading space are supported")
+        self.pieces = Pieces(self.library, remembered)
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text; strings of special tokens in it are those tokens, as the library has it."""
-        found, plain = [], []
-        for text in texts:
-            parts = self.specials.split(text) if self.specials and self.specials.search(text) else [text]
-            found.append(parts)
-            plain += parts[::2]
-        ids = iter(self.plain(plain))
-        return [b"".join(self.special[x] if k % 2 else next(ids) for k, x in enumerate(parts)) for parts in found]
-
-    def plain(self, texts: Sequence[str]) -> list[bytes]:
-        lists = list(map(PIECE.findall, texts))
-        known, long = self.known(set().union(*lists))
-        found = [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
-        for p in long:
-            del known[p]
-        return found
-
-    def known(self, pieces: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """Ids of at least the ``pieces``, and those of them that are too long to keep; what the library hasn't encoded lately it encodes at once."""
-        young = self.young
-        new = [p for p in pieces if p not in young]  # a difference with the dictionary's keys would walk through all of them
-        if len(young) + len(new) > self.remembered:
-            self.old, self.young = young, {p: young[p] for p in pieces if p in young}
-            young = self.young
-        old = self.old
-        missing = [p for p in new if p not in old]
-        for p in new:
-            if p in old:
-                young[p] = old[p]
-        made = self.library.encode_batch_fast(missing, add_special_tokens=False)
-        young.update(zip(missing, (array("I", e.ids).tobytes() for e in made), strict=True))
-        return young, [p for p in missing if len(p) > LONGEST]
+    def encode(self, text: str) -> bytes:
+        """Ids of a text; strings of special tokens in it are those tokens, as the library has it."""
+        ids = self.pieces.__getitem__
+        if self.specials is None or not self.specials.search(text):
+            return b"".join(map(ids, PIECE.findall(text)))
+        return b"".join(self.special[x] if k % 2 else b"".join(map(ids, PIECE.findall(x))) for k, x in enumerate(self.specials.split(text)))
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker, in its one thread."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """One encoder for all tasks of a worker."""
     return Encoder(path)
 
 
@@ -145,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
         for batch in (whole.slice(k, STEP) for whole in batches for k in range(0, whole.num_rows, STEP)):
-            raw = [ids + close for ids in encode([text or "" for text in batch.column("text").to_pylist()])]
+            raw = [encode(text or "") + close for text in batch.column("text").to_pylist()]
             sizes = np.array([len(r) // 4 for r in raw], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
