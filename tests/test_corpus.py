@@ -1,5 +1,8 @@
+import html
+import random
 import re
 import time
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +91,69 @@ def test_page_versions(spark):
     assert (got[1].status, got[2].status, got[3].status) == ("ok", "reject", "reject")
 
 
+def test_main_region_ends_at_its_own_end(spark):
+    page = "<main class=x><article>%s</article><p>after the article%s</p><img src=\"%s\"><div style=\"background:url('/b.png?v=2')\"></div></main><p>outside</p>"
+    text = "Long enough text to be taken as a page."
+    rows = [(1, "u", page % (text, "", "/doc.pdf#p")), (2, "u", page % (text, " changed", "/doc.pdf")), (3, "u", page % (text, "", "/other.pdf"))]
+    got = {r.page_id: r for r in c.page_version(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[1].lines == [text, "after the article"] and got[1].links == ["/b.png", "/doc.pdf"]
+    assert len({r.hash for r in got.values()}) == 3
+    odd = [
+        ("<main>a<!-- </main> x --><p>b</p></main>", ["a<!--"]),  # the region ends at the first end tag, in a comment too
+        ("<article>a<script>var t = '<!--';</script>b<!-- c --> d</article>", ["a b d"]),
+        ("<main>a&nbsp;</p> &nbsp;b &nbsp; c&#10;d\te</main>", ["a", "b \xa0 c", "d e"]),
+        ("<MAIN id='m'>x<style>p{}</style>y</MAIN>", ["x y"]),
+        ('<main><a HREF = "/a?b">t</a><a href="">u</a><i src="#x">v</i><b style="background: URL(x.png)">w</b></main>', ["t u v w"]),
+        (None, None),
+        ("", []),
+    ]
+    rows = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(odd)], "k int, html string").withColumn("r", c.region(F.col("html")))
+    got = {r.k: r for r in rows.select("k", c.visible_lines(F.col("r")).alias("lines"), c.link_targets(F.col("r")).alias("links")).collect()}
+    assert [got[k].lines or [] for k in range(len(odd))] == [want or [] for _, want in odd]
+    assert got[4].links == ["/a", "x.png"]
+
+
+def test_references_equal_the_standard_library(spark):
+    rng = random.Random(9)
+    some = ["&", "&&", "&amp", "&amp;lt;", "&ltx", "&notit;", "&notin;", "&NotEqualTilde;", "&unknown;", "&#", "&#;", "&#x;", "&#xg", "&#38;#38;", "&#0;", "&#x0D;", "&#128;", "&#129;", "&#x9f;", "&#xD800;", "&#x110000;", "&#99999999999999999999;", "&#xfffffffffffffffff;", "&#11;", "&#7", "&#xFDD0;", "&#x1FFFE;", "&#x1F600;", "&#0000065;", "&#x0000000041 ", "&acE;", "&copycopy;", "& amp;", "&\tlt;", "&aacute", "&Aacutex", "a&b", "&fjlig;", "&bne;x", "é&eacute;é"]
+    texts = some + ["".join(rng.choices([*some, "x", ";", " ", "#", "1"], k=6)) for _ in range(400)] + [f"&{n}" for n in html5] + [f"&#{n};&#x{n:x}z" for n in range(0, 300)]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(4).orderBy("k").select(S.unescaped("t")).collect()]
+    assert [(t, g) for t, g in zip(texts, got, strict=True) if g != html.unescape(t)] == []
+    assert one(spark, S.unescaped("t"), t=None) is None
+
+
+def test_one_pass_over_all_default_terms(spark):
+    """Hits as a search of each term over the page gives them, the phrases that may not stand near them too."""
+    rng = random.Random(5)
+    words = ["boiler", "boils", "boiling", "point", "legal", "settlement", "of", "agreement", "steam", "turbine", "steams", "fuming", "leachate", "outbreak", "seeping", "TS-01", "ts 01", "landslide", "sink hole", "caved-in", "air bubble", "bubbling", "plain", "words", "here", "\n"]
+    rows = [(d, p, " ".join(rng.choices(words, k=rng.choice([0, 3, 40])))) for d in range(30) for p in range(4)] + [(99, 0, None)]
+    want = set()
+    for t in c.DEFAULT_TERMS:
+        seen = set()
+        for d, p, text in rows:
+            for m in re.finditer(t.positive, text or "", re.I):
+                if t.negative and re.search(t.negative, text[max(0, m.start() - 45) : m.end() + 45], re.I):
+                    continue
+                snippet = " ".join(text[max(0, m.start() - 130) : m.end() + 130].split())
+                if (d, snippet[:70].lower()) not in seen:
+                    seen.add((d, snippet[:70].lower()))
+                    want.add((d, p, t.label, m.start() + 1, snippet))
+    df = c.term_hits(spark.createDataFrame(rows, "doc int, page int, text string").repartition(3), c.DEFAULT_TERMS)
+    assert {(r.doc, r.page, r.label, r.pos, r.snippet) for r in df.collect()} == want and len({w[2] for w in want}) > 6
+
+
+def test_pages_are_read_once_for_all_terms(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "it boils")], "doc int, page int, text string").write.parquet(str(tmp_path / "p"))
+    plan = c.term_hits(spark.read.parquet(str(tmp_path / "p")), c.DEFAULT_TERMS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_marks_are_found_at_any_byte(spark):
+    for lead in (b"\x02\x55\x04\x44\x60\x00", b"\x12\x55\x04\x44\x60", b"", b"\xff" * 1020):
+        assert spark.createDataFrame([(bytearray(lead + b"%PDF-1.4"),)], "t binary").select(S.sniffed("t")).first()[0] == "pdf"
+    assert spark.createDataFrame([(bytearray(b"\xfe" * 1021 + b"%PDF-1.4"),)], "t binary").select(S.sniffed("t")).first()[0] == "unknown"
+
+
 def test_ids_and_context(spark):
     pages = spark.createDataFrame([(1, "Wells of Interest: AHW12* and AHW13"), (2, "AHW99 elsewhere")], "doc int, text string")
     assert {r.id for r in c.harvested_ids(pages, "wells of interest", r"AHW\d+\*?").collect()} == {"AHW12", "AHW13"}

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -28,8 +29,21 @@ def test_classes(spark):
         6: ("sentinel", "exceedance", "urgent", 2),
         7: ("missing", "missing", "ok", 0),
     }
-    lines = {x.oid: x.line for x in r.alert_lines(r.classify(frame(spark, rows))).collect()}
-    assert lines == {2: "WATCH", 3: "ANOMALY", 4: "ANOMALY", 5: "EXCEEDANCE", 6: "EXCEEDANCE"}
+    reasons = {x.oid: [(q.column, q.status, q.value, q.level, q.action) for q in x.reasons] for x in r.classify(frame(spark, rows)).collect()}
+    assert reasons[1] == [("h2s", "exceedance", 72.0, 72.0, 72.0)] and reasons[2] == [("ch4", "watch", 40.0, 40.0, 500.0)] and reasons[7] == []
+    assert [q[:2] for q in reasons[6]] == [("h2s", "sentinel"), ("ch4", "exceedance")]
+    when = "MS-1 2024-01-01 00:00: "
+    anomalies = {3: f"anomaly {when}H2S=999 is a sentinel", 4: f"anomaly {when}CH4=99999 is a sentinel"}
+    watch = {2: f"watch {when}CH4=40 reaches the watch level 40, below the action level 500"}
+    urgent = {5: f"EXCEEDANCE {when}CH4=500 reaches the action level 500"}
+
+    def lines(**switches):
+        return {x.oid: x.line for x in r.alert_lines(frame(spark, rows), **switches).collect()}
+
+    assert lines() == anomalies | watch | urgent | {6: f"EXCEEDANCE {when}H2S=999 is a sentinel; CH4=501 reaches the action level 500"}
+    alone = {6: f"EXCEEDANCE {when}CH4=501 reaches the action level 500"}
+    assert lines(on_sentinel=False) == watch | urgent | alone
+    assert lines(on_sentinel=False, with_watch=False, averaged=()) == urgent | alone | {1: f"EXCEEDANCE {when}H2S=72 reaches the action level 72"}
 
 
 def test_long_form_drops_sentinels_and_other_stations(spark):
@@ -58,6 +72,32 @@ def test_thinning(spark):
     assert sorted(x.oid for x in got) == [0, 2, 4, 6, 9]
 
 
+def walked(rows, hours=8):
+    """Ids that one walk keeps, row by row in the order of ids."""
+    kept, last = [], {}
+    for oid, station, ts, calm in sorted(rows, key=lambda x: x[0]):
+        if not calm or ts is None:
+            kept.append(oid)
+        elif station not in last or (ts - last[station]).total_seconds() >= hours * 3600:
+            kept.append(oid)
+            last[station] = ts
+    return sorted(kept)
+
+
+def test_thinning_of_late_rows_in_parts_equals_a_walk(spark):
+    rng = random.Random(6)
+    for seed in range(3):
+        rows, clock = [], 0.0
+        for oid in range(1500):
+            clock += rng.choice((0, 0.2, 1, 3, 9)) if seed else rng.random() * 2 - 0.5
+            late = rng.choice((0, 0, 0, 5, 40)) if seed < 2 else 0
+            rows.append((oid, rng.choice(["MS-1"] * 6 + ["MS-2", None]), None if rng.random() < 0.02 else T0 + dt.timedelta(hours=round(clock - late, 3)), rng.random() < 0.8))
+        df = spark.createDataFrame(rows, "oid long, station string, ts timestamp, calm boolean").repartition(5)
+        for size in (40, 10_000):
+            assert sorted(x.oid for x in r.thinned(df, F.col("calm"), per_part=size).collect()) == walked(rows)
+    assert r.thinned(df.limit(0), F.col("calm")).count() == 0
+
+
 def test_episodes_need_a_recovery(spark):
     values = [80.0, 90.0, None, 999.0, 75.0, 10.0, 10.0, 72.0]
     rows = [(k, "MS-1", at(k), v, None, None) for k, v in enumerate(values)]

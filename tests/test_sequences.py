@@ -29,6 +29,8 @@ def test_summary_first_of_ties_and_no_adjustments(spark):
     rows = [(1, 1, 1, "A", "d1", False, 1.0, 0.0, 2.0, 0.0, 130.0, True), (1, 2, 1, "A", "d2", False, 3.0, 0.0, 9.0, 0.0, 130.0, True), (1, 3, 1, "A", "d3", True, 1.0, 0.0, 20.0, 0.0, 190.0, True), (1, 4, 1, "A", "d4", False, 1.0, 0.0, 20.0, 0.0, 190.0, False), (1, 5, 1, "B", "d5", False, 1.0, 0.0, 2.0, 0.0, None, True)]
     got = {r.well_id: (r.max_temp, r.dt, r.o2_at_max, r.max_o2, r.n) for r in q.well_summary(spark.createDataFrame(rows, shape)).collect()}
     assert got == {"A": (130.0, "d1", 2.0, 9.0, 2), "B": (None, None, None, 2.0, 1)}
+    rows = [(40, 9, 1, "A", "later", False, 1.0, 0.0, 1.0, 0.0, 139.0, True), (3, 9, 1, "A", "first", False, 1.0, 0.0, 2.0, 0.0, 139.0, True), (3, 12, 1, "A", "last", False, 1.0, 0.0, 3.0, 0.0, 139.0, True)]
+    assert [r.dt for r in q.well_summary(spark.createDataFrame(rows, shape)).collect()] == ["first"]
 
 
 def test_co_needs_a_ppm_line_and_plausible_values(spark):
@@ -63,3 +65,36 @@ def test_report_verdicts(spark):
     assert {(r.day, r.value) for r in days.where("report = 6").collect()} == {("3/1/24", "<1"), ("3/2/24", None), ("3/3/24", "80")}
     who = {r.report: (r.audience, r.alert_cell) for r in q.audience(q.report_verdict(reports, days), F.col("report") == 4).collect()}
     assert who[2] == ("all", "EXCEEDANCE") and who[3] == ("review", "review") and who[4] == ("suppressed", "review") and who[1] == ("none", "ok")
+
+
+def test_verdict_from_a_whole_text(spark):
+    clear = "There were no notifications\n required to be sent this month."
+    notes = "\n  1 Notifications are sent at 72 ppb or 750 ppb; else no notifications required to be sent\n5/9/26\n80\n"
+    table = "May 1 - 31, 2026: 9,999 and 750\n5/1/26\n<1\r\n5/2/2026 \n \n\n 12.5\n5/3/26\n\n\n\n14\n5/4/26\nn/a\n5/5/26\n< 1\n"
+    texts = {
+        "clear": table + clear,
+        "silent": table,
+        "in notes only": table + notes.replace("80", "7"),
+        "over": table.replace("12.5", "72") + clear,
+        "over in notes": table + clear + notes,
+        "below": "5/1/26\n<1\n5/2/26\n< 1\nNO NOTIFICATION REQUIRED TO BE SENT",
+        "scan": "a picture",
+        "empty": "",
+        "null": None,
+    }
+    rows = [(k, v) for k, v in texts.items()] + [("clear", texts["clear"])]
+    got = {r.report: r for r in q.report_text_verdict(spark.createDataFrame(rows, "report string, text string")).collect()}
+    shown = {k: (r.n_days, r.max_numeric, r.value_token, r.all_clear, r.severity, [x.code for x in r.reasons]) for k, r in got.items()}
+    assert shown == {
+        "clear": (5, 12.5, "12.5", True, "routine", []),
+        "silent": (5, 12.5, "12.5", False, "alert", ["no all-clear"]),
+        "in notes only": (6, 12.5, "12.5", False, "alert", ["no all-clear"]),
+        "over": (5, 72.0, "72", True, "alert", ["exceedance"]),
+        "over in notes": (6, 80.0, "80", True, "alert", ["exceedance"]),
+        "below": (2, None, "<1", True, "routine", []),
+        "scan": (0, None, "", False, "alert", ["no values"]),
+        "empty": (0, None, "", False, "alert", ["no values"]),
+        "null": (0, None, "", False, "alert", ["no values"]),
+    }
+    assert got["below"].all_below_1 and got["over"].reasons[0].text == "a day's mean of 72 ppb reaches the level of 72 ppb"
+    assert q.report_text_verdict(spark.createDataFrame([], "report string, text string")).count() == 0

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardlight.functions.arrays import bound
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -144,11 +148,57 @@ def sniffed(content: Column | str) -> Column:
     """The kind of a file by its first bytes; a PDF mark may stand anywhere in the first 1024."""
     body = _col(content)
     head = F.hex(F.substring(body, 1, 8))
-    first = F.hex(F.substring(body, 1, 1024))
+    first = F.decode(F.substring(body, 1, 1024), "ISO-8859-1")  # a character a byte, so that a mark is found at any place
     kind = F.when(head.startswith(MAGIC[0][0]), MAGIC[0][1])
     for mark, name in MAGIC[1:]:
         kind = kind.when(head.startswith(mark), name)
-    return kind.when(F.pmod(F.instr(first, "25504446"), F.lit(2)) == 1, "pdf").otherwise("unknown")
+    return kind.when(first.contains("%PDF"), "pdf").otherwise("unknown")
+
+
+#: Character references by name, with ";" where the standard asks for it; those without may be the beginning of a longer name.
+NAMED = html5
+SHORT = sorted((n for n in NAMED if not n.endswith(";")), key=len, reverse=True)
+#: What numbers from 128 to 159 stand for.
+WINDOWS = [bytes([n]).decode("cp1252") if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(n) for n in range(128, 160)]
+MOST = 0x10FFFF
+
+
+def _character(code: Column) -> Column:
+    """The character of a number in a reference, as browsers have it."""
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    none = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
+    return (
+        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > MOST), "\ufffd")
+        .when(code.between(128, 159), F.get(F.lit(WINDOWS), (code - 128).cast("int")))
+        .when(none, "")
+        .otherwise(plain)
+    )
+
+
+def unescaped(text: Column | str) -> Column:
+    """A text with its character references decoded as HTML has it: all names, also those without an end mark, and numbers."""
+    body = _col(text)
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    short = F.lit("^(?:" + "|".join(SHORT) + ")")
+
+    def number(p: Column) -> Column:
+        ten, sixteen = F.regexp_extract(p, "^#0*([0-9]+)", 1), F.regexp_extract(p, "^#[xX]0*([0-9a-fA-F]+)", 1)
+        many = F.lit(MOST + 1).cast("long")
+        code = F.when(ten != "", F.when(F.length(ten) > 9, many).otherwise(ten.try_cast("long"))).otherwise(F.when(F.length(sixteen) > 7, many).otherwise(F.conv(sixteen, 16, 10).try_cast("long")))
+        return F.concat(_character(code), F.regexp_replace(p, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", ""))
+
+    def named(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^[^\t\n\x0c <&#;]{1,32};?", 0)
+        whole, part = names[name], F.regexp_substr(p, short)
+        return F.when(whole.isNotNull(), F.concat(whole, F.substr(p, F.length(name) + 1))).when(part.isNotNull(), F.concat(names[part], F.substr(p, F.length(part) + 1))).otherwise(F.concat(F.lit("&"), p))
+
+    def decoded(p: Column) -> Column:
+        return F.when(p.rlike("^#(?:[0-9]|[xX][0-9a-fA-F])"), number(p)).otherwise(named(p))
+
+    def of(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded), ""))
+
+    return F.when(body.contains("&"), bound(F.split(body, "&", -1), of)).otherwise(body)
 
 
 def provenance(content: Column | str) -> Column:

@@ -55,20 +55,24 @@ SIGNALS = (
 def term_hits(pages: DataFrame, terms: Sequence[Term], near: int = 45, around: int = 130) -> DataFrame:
     """Hits of each term in each page whose ``near`` characters on both sides don't match its negative pattern.
 
-    Positions come from what stands between matches, so windows may overlap. Snippets that agree in
+    Pages are read once for all terms: one alternation of the patterns picks the pages with any of them, and each term is then looked for in
+    these alone. Positions come from what stands between matches, so windows may overlap. Snippets that agree in
     their first 70 characters, lower-cased, count once for each document and label.
     """
-    found = None
-    for t in terms:
-        pattern = f"(?i){t.positive}"
-        spots = match_places(F.col("text"), pattern)
-        rows = pages.where(F.col("text").rlike(pattern)).select("doc", "page", "text", F.explode(spots).alias("s")).select("doc", "page", "text", "s.*")
-        if t.negative:
-            start = F.greatest(F.col("pos") - near, F.lit(1))
-            window = F.substring("text", start, F.col("size") + near + (F.col("pos") - start))
-            rows = rows.where(~window.rlike(f"(?i){t.negative}"))
-        rows = rows.select("doc", "page", F.lit(t.label).alias("label"), "pos", S.snippet("text", F.col("pos"), F.col("size"), around).alias("snippet"))
-        found = rows if found is None else found.unionByName(rows)
+    text = F.col("text")
+
+    def spots(t: Term) -> Column:
+        def spot(s: Column) -> Column:
+            start = F.greatest(s["pos"] - near, F.lit(1))
+            fine = ~F.substring(text, start, s["size"] + near + (s["pos"] - start)).rlike(f"(?i){t.negative}") if t.negative else F.lit(True)
+            return F.when(fine, F.struct(F.lit(t.label).alias("label"), s["pos"].alias("pos"), s["size"].alias("size")))
+
+        found = F.filter(F.transform(match_places(text, f"(?i){t.positive}"), spot), lambda x: x.isNotNull())
+        return F.when(text.rlike(f"(?i){t.positive}"), found).otherwise(F.array().cast("array<struct<label:string,pos:int,size:int>>"))
+
+    some = pages.where(text.rlike("(?i)" + "|".join(f"(?:{t.positive})" for t in terms)))
+    rows = some.select("doc", "page", "text", F.explode(F.concat(*map(spots, terms))).alias("s")).select("doc", "page", "text", "s.*")
+    found = rows.select("doc", "page", "label", "pos", S.snippet("text", F.col("pos"), F.col("size"), around).alias("snippet"))
     first = F.row_number().over(W.partitionBy("doc", "label", F.lower(F.left("snippet", F.lit(70)))).orderBy("page", "pos"))
     return found.withColumn("_n", first).where("_n = 1").drop("_n")
 
@@ -177,26 +181,35 @@ def harvested_ids(pages: DataFrame, marker: str, pattern: str) -> DataFrame:
     return rows.select(F.regexp_replace("raw", r"\*+$", "").alias("id")).distinct()
 
 
+# Elements that end a line, where link targets stand, and white space within a line.
+BLOCKS = r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|section|article|tr|table|br|main)\b[^>]*>"
+TARGETS = (r'(?i)(?:href|src)\s*=\s*"([^"]+)"', r"(?i)url\(\s*['\"]?([^)'\"]+?)['\"]?\s*\)")
+WITHIN_LINE = r"[ \t\r\x0c\x0b]+"
+#: White space at an end, as Unicode has it.
+EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
 def region(html: Column) -> Column:
-    """What stands in the main or article element, else empty."""
-    return F.regexp_extract(html, r"(?is)<(?:main|article)\b[^>]*>(.*?)</(?:main|article)>", 1)
+    """What stands in the main element, up to its own end; else in the article element; else empty. Scripts, styles, then comments are cut."""
+    found = F.lit("")
+    for name in ("article", "main"):
+        inner = rf"(?is)<{name}\b[^>]*>(.*?)</{name}>"
+        found = F.when(html.rlike(inner), F.regexp_extract(html, inner, 1)).otherwise(found)
+    return F.regexp_replace(F.regexp_replace(found, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<!--.*?-->", " ")
 
 
 def visible_lines(html: Column) -> Column:
-    """Text lines of a piece of HTML: scripts, styles and comments cut, blocks as line ends, references decoded."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
-    text = F.regexp_replace(text, r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section|article)\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    lines = F.transform(F.split(text, "\n"), S.single_spaced)
+    """Text lines of a region: blocks as line ends, other tags as spaces, references decoded."""
+    text = S.unescaped(F.regexp_replace(F.regexp_replace(html, BLOCKS, "\n"), r"<[^>]+>", " "))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, WITHIN_LINE, " "), EDGES, ""))
     return F.filter(lines, lambda x: x != "")
 
 
 def link_targets(html: Column) -> Column:
-    """Distinct link targets in order, without query and fragment."""
-    found = F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*?href="([^"]*)"'), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, S.without_query)))
+    """Distinct targets of links, sources and style urls of a region in order, decoded, without query and fragment."""
+    found = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in TARGETS])
+    paths = F.transform(found, lambda x: F.regexp_replace(F.regexp_extract(S.unescaped(x), r"^([^?#]*)", 1), EDGES, ""))
+    return F.array_sort(F.array_distinct(F.filter(paths, lambda x: x != "")))
 
 
 def page_version(pages: DataFrame, least: int = 40) -> DataFrame:

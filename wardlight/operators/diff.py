@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,10 +55,11 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """``change`` NEW, REMOVED or CHANGED by key, with the fields that changed as ``f: old -> new``."""
-    a = old.select(*keys, F.struct(*fields).alias("_old"))
-    b = new.select(*keys, F.struct(*fields).alias("_new"))
-    both = a.join(b, list(keys), "full_outer")
+    """``change`` NEW, REMOVED or CHANGED by key, with the fields that changed as ``f: old -> new``; a null key is a key like any other."""
+    a = old.select(F.struct(*keys).alias("_a"), F.struct(*fields).alias("_old"))
+    b = new.select(F.struct(*keys).alias("_b"), F.struct(*fields).alias("_new"))
+    same = reduce(and_, [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in keys])
+    both = a.join(b, same, "full_outer").select(*[F.coalesce(f"_a.{k}", f"_b.{k}").alias(k) for k in keys], "_old", "_new")
     shown = F.array_compact(
         F.array(*[F.when(~F.col(f"_old.{f}").eqNullSafe(F.col(f"_new.{f}")), F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f"_old.{f}").cast("string"), F.lit("")), F.lit(" -> "), F.coalesce(F.col(f"_new.{f}").cast("string"), F.lit("")))) for f in fields])
     )

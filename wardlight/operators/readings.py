@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wardlight.functions import scalars as S
+from wardlight.sources.tables import written
+
 
 @dataclass(frozen=True)
 class Pollutant:
@@ -41,20 +46,47 @@ def status(p: Pollutant) -> Column:
     return found.otherwise("ok")
 
 
+def reason(p: Pollutant) -> Column:
+    """Why a pollutant's reading counts: a struct of ``column``, ``status``, ``value``, the ``level`` it reaches and the ``action`` level; null if it doesn't."""
+    found = F.col(f"{p.column}_status")
+    level = F.when(found == "exceedance", F.lit(p.action)).when(found == "watch", F.lit(p.watch)).cast("double")
+    told = F.struct(F.lit(p.column).alias("column"), found.alias("status"), F.col(p.column).cast("double").alias("value"), level.alias("level"), F.lit(p.action).cast("double").alias("action"))
+    return F.when(found.isin("exceedance", "watch", "sentinel"), told)
+
+
 def classify(df: DataFrame, pollutants: Sequence[Pollutant] = (H2S, CH4)) -> DataFrame:
-    """Adds ``<column>_status`` for each pollutant, the worst ``severity`` and ``n_reasons``."""
+    """Adds ``<column>_status`` for each pollutant, the worst ``severity``, ``reasons`` (structs by pollutant, see ``reason``) and ``n_reasons``."""
     df = df.withColumns({f"{p.column}_status": status(p) for p in pollutants})
     ranks = [F.when(F.col(f"{p.column}_status") == "exceedance", 3).when(F.col(f"{p.column}_status") == "watch", 2).when(F.col(f"{p.column}_status") == "sentinel", 1).otherwise(0) for p in pollutants]
     worst = F.greatest(*ranks) if len(ranks) > 1 else ranks[0]
-    reasons = sum(((r > 0).cast("int") for r in ranks), F.lit(0))
-    return df.withColumn("severity", F.get(F.lit(list(RANKS)), worst)).withColumn("n_reasons", reasons)
+    df = df.withColumn("severity", F.get(F.lit(list(RANKS)), worst)).withColumn("reasons", F.filter(F.array(*map(reason, pollutants)), lambda r: r.isNotNull()))
+    return df.withColumn("n_reasons", F.size("reasons"))
+
 
+def told(r: Column) -> Column:
+    """A reason in words."""
+    name, value, level = F.upper(r["column"]), S.compact_number(r["value"]), S.compact_number(r["level"])
+    below = F.when(r["action"].isNotNull(), F.concat(F.lit(", below the action level "), S.compact_number(r["action"]))).otherwise("")
+    return (
+        F.when(r["status"] == "exceedance", F.concat(name, F.lit("="), value, F.lit(" reaches the action level "), level))
+        .when(r["status"] == "watch", F.concat(name, F.lit("="), value, F.lit(" reaches the watch level "), level, below))
+        .otherwise(F.concat(name, F.lit("="), value, F.lit(" is a sentinel")))
+    )
 
-def alert_lines(classified: DataFrame, instantaneous_h2s: bool = False) -> DataFrame:
-    """Rows worth a line: exceedances, watches and anomalies; the single-hour level of H2S counts only if asked for."""
-    keep = F.col("ch4_status").isin("exceedance", "watch", "sentinel") | (F.col("h2s_status") == "sentinel") | F.lit(instantaneous_h2s) & (F.col("h2s_status") == "exceedance")
-    line = F.when(F.col("ch4_status") == "exceedance", "EXCEEDANCE").when(F.lit(instantaneous_h2s) & (F.col("h2s_status") == "exceedance"), "EXCEEDANCE")
-    return classified.where(keep).withColumn("line", line.when(F.col("ch4_status") == "watch", "WATCH").otherwise("ANOMALY"))
+
+def alert_lines(df: DataFrame, pollutants: Sequence[Pollutant] = (H2S, CH4), averaged: Sequence[str] = ("h2s",), on_sentinel: bool = True, with_watch: bool = True) -> DataFrame:
+    """Readings worth a line, with ``line``: kind, station, minute and reasons in order.
+
+    Pollutants in ``averaged`` have their action level judged by a mean elsewhere, so a single hour of theirs isn't one here.
+    Without ``on_sentinel`` anomalies go, and sentinels aren't told beside other reasons; without ``with_watch`` readings that only reach a
+    watch level go.
+    """
+    rows = classify(df, [replace(p, action=None) if p.column in averaged else p for p in pollutants])
+    wanted = ["urgent", *(["watch"] if with_watch else []), *(["anomaly"] if on_sentinel else [])]
+    shown = F.col("reasons") if on_sentinel else F.filter("reasons", lambda r: r["status"] != "sentinel")
+    kind = F.when(F.col("severity") == "urgent", "EXCEEDANCE").otherwise(F.col("severity"))
+    line = F.concat_ws(" ", kind, "station", F.concat(F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("")), F.lit(":")), F.array_join(F.transform(shown, told), "; "))
+    return rows.where(F.col("severity").isin(wanted)).withColumn("line", line)
 
 
 def levels_are_sane(thresholds: DataFrame) -> DataFrame:
@@ -122,32 +154,74 @@ def cursor(df: DataFrame, column: str = "oid") -> DataFrame:
     return df.agg(F.max(F.expr(f"try_cast(`{column}` AS bigint)")).alias("cursor"))
 
 
-def thinned(df: DataFrame, calm: Column, hours: float = 8.0) -> DataFrame:
-    """All elevated rows, and calm ones at least ``hours`` after the last calm row kept, by station.
+def thinned(df: DataFrame, calm: Column, hours: float = 8.0, per_part: int = 262_144) -> DataFrame:
+    """All elevated rows, and of the calm ones each that is ``hours`` or more later than the last calm row kept, by station in the order of ids.
 
-    Calm rows alone move the clock; rows without a stamp stay. Rows pass by in order of time, station
-    by station, and one stamp is held, so a history of any length is never held whole.
+    Calm rows alone move the clock; rows without a stamp stay. A row can be kept only if its stamp passes all before it, as the
+    clock is never more than ``hours`` behind the latest stamp. So each part of about ``per_part`` rows of a station, in the order of ids,
+    is a map from the clock before it to the clock behind it, which needs an entry for each of its rising stamps within ``hours``
+    of the latest stamp before it, and one more. A walk over these maps (a row a part) gives each part its clock, and parts are then
+    walked apart, so no task has a station's history. Elevated rows don't move. Rows alike in station and id are kept together.
     """
-    gap, kind = int(hours * 3600 * 10**6), df.schema["oid"].dataType.simpleString()
-    rows = df.select("station", F.col("ts").alias("us"), "oid", calm.alias("calm"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = None, None
+    gap = int(hours * 3600 * 10**6)
+    quiet = F.coalesce(calm, F.lit(False)) & F.col("ts").isNotNull()
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") if df.schema["ts"].dataType.simpleString() == "timestamp_ntz" else F.unix_micros("ts")
+    rows = df.where(quiet).select("station", "oid", us.alias("us"))
+    parts = max(1, -(-rows.count() // per_part))
+    placed = rows.repartitionByRange(parts, "station", "oid", "us").withColumn("part", F.spark_partition_id())
+    placed = written(placed, "thinned-rows")
+    tops = placed.groupBy("station", "part").agg(F.max("us").alias("top"))
+    earlier = W.partitionBy("station").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a part
+    tops = tops.select(F.col("station").alias("_station"), F.col("part").alias("_part"), F.max("top").over(earlier).alias("before"))
+    joined = written(placed.join(tops, F.col("station").eqNullSafe(F.col("_station")) & (F.col("part") == F.col("_part"))).drop("_station", "_part"), "thinned-parts")
+
+    def rising(table: pa.Table) -> tuple[np.ndarray, np.ndarray, int | None]:
+        """Stamps that pass all before them in the order of ids, their rows, and the latest stamp before the part."""
+        order = table.select(["oid", "us"]).append_column("n", pa.array(range(table.num_rows))).sort_by([("oid", "ascending"), ("us", "ascending")])
+        us, n = order.column("us").to_numpy(), order.column("n").to_numpy()
+        before = table.column("before")[0].as_py()
+        seen = np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min if before is None else before], us]))[:-1]
+        up = us > seen
+        return us[up], n[up], before
+
+    def mapped(key: tuple, table: pa.Table) -> pa.Table:
+        us, _, before = rising(table)
+        following = np.searchsorted(us, us + gap)
+        last = us.copy()
+        for k in range(len(us) - 1, -1, -1):
+            if following[k] < len(us):
+                last[k] = last[following[k]]
+        n = min(len(us), 1 if before is None else int(np.searchsorted(us, before + gap)) + 1)
+        return pa.table({"station": pa.array([key[0].as_py()], pa.string()), "part": pa.array([key[1].as_py()], pa.int32()), "enter": pa.array([us[:n].tolist()], pa.list_(pa.int64())), "leave": pa.array([last[:n].tolist()], pa.list_(pa.int64()))})
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, clock = ..., None
         for batch in batches:
-            kept = []
-            stamps = batch.column("us").cast(pa.int64())
-            for station, us, fine in zip(*(c.to_pylist() for c in (batch.column("station"), stamps, batch.column("calm"))), strict=True):
+            found = []
+            for station, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("station", "enter", "leave")), strict=True):
                 if station != at:
-                    at, last = station, None
-                keep = us is None or not fine or last is None or us - last >= gap
-                if keep and fine and us is not None:
-                    last = us
-                kept.append(keep)
-            yield batch.select(["station", "oid"]).filter(pa.array(kept, pa.bool_()))
-
-    ordered = rows.repartition("station").sortWithinPartitions("station", "us", "oid")
-    kept = ordered.mapInArrow(run, f"station string, oid {kind}")
-    return df.join(kept, ["station", "oid"], "left_semi")
+                    at, clock = station, None
+                found.append(clock)
+                k = 0 if clock is None else bisect_left(enter, clock + gap)
+                clock = leave[k] if k < len(leave) else clock
+            yield pa.RecordBatch.from_arrays([batch.column("station"), batch.column("part"), pa.array(found, pa.int64())], names=["_station", "_part", "clock"])
+
+    def kept(table: pa.Table) -> pa.Table:
+        us, n, _ = rising(table)
+        clock, found = table.column("clock")[0].as_py(), []
+        k = 0 if clock is None else int(np.searchsorted(us, clock + gap))
+        while k < len(us):
+            found.append(int(n[k]))
+            k = int(np.searchsorted(us, us[k] + gap))
+        return table.select(["station", "oid"]).take(pa.array(found, pa.int64()))
+
+    maps = joined.groupBy("station", "part").applyInArrow(mapped, "station string, part int, enter array<long>, leave array<long>")
+    clocks = maps.repartition("station").sortWithinPartitions("station", "part").mapInArrow(walked, "_station string, _part int, clock long")
+    timed = joined.join(written(clocks, "thinned-clocks"), F.col("station").eqNullSafe(F.col("_station")) & (F.col("part") == F.col("_part"))).drop("_station", "_part")
+    kind = df.schema["oid"].dataType.simpleString()
+    some = timed.groupBy("station", "part").applyInArrow(kept, f"station string, oid {kind}").select(F.col("station").alias("_station"), F.col("oid").alias("_oid"))
+    sparse = df.where(quiet).join(some, F.col("station").eqNullSafe(F.col("_station")) & (F.col("oid") == F.col("_oid")), "left_semi")
+    return df.where(~quiet).unionByName(sparse)
 
 
 def capture_rows(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wardlight.functions import scalars as S
+from wardlight.functions.arrays import bound
 
 # Columns of the gas table in order, and forms of its lines and of the monthly report's.
 NUMBERS = ("ch4", "co2", "o2", "balance", "diff_press", "temp", "flow", "well_pres", "header_pres")
@@ -19,6 +20,10 @@ NUMBER = r"^-?\d+(?:\.\d+)?$"
 CO_TITLE = r"Attachment\s*2\s*-\s*([A-Za-z]+)\s+(\d{4})\s*CO Data"
 REPORT_DAY = r"^\s*(\d{1,2}/\d{1,2}/\d{2,4})\s*$"
 REPORT_VALUE = r"^\s*(<\s*1|\d{1,4}(?:\.\d+)?)\s*$"
+FOOTNOTES = r"(?md)^\s*1\s+Notifications\b"
+ALL_CLEAR = r"(?i)no\s+notifications?\s+required\s+to\s+be\s+sent"
+#: Ends of lines in texts of any origin.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
 def well_id(raw: Column, aliases: dict[str, str] | None = None) -> Column:
@@ -157,6 +162,54 @@ def report_verdict(reports: DataFrame, days: DataFrame, level: float = 72.0) ->
     return rows.withColumn("severity", F.when(F.col("alert"), "alert").otherwise("routine"))
 
 
+def stated_days(text: Column, ahead: int = 3) -> Column:
+    """Days of a whole report's text in order, each a struct of ``day`` and ``value`` as ``daily_values`` has them; lines are looked at within their row, so nothing is shuffled."""
+    edges = r"^\s+|\s+$"
+
+    def of(lines: Column) -> Column:
+        def day(line: Column, at: Column) -> Column:
+            later = F.filter(F.transform(F.slice(lines, at + 2, F.lit(ahead)), lambda x: F.regexp_replace(x, edges, "")), lambda x: x != "")
+            value = F.regexp_extract(F.get(later, F.lit(0)), REPORT_VALUE, 1)
+            return F.when(line.rlike(REPORT_DAY), F.struct(F.regexp_extract(line, REPORT_DAY, 1).alias("day"), F.when(value != "", F.regexp_replace(value, r"\s", "")).alias("value")))
+
+        return F.filter(F.transform(lines, day), lambda x: x.isNotNull())
+
+    return bound(F.split(F.coalesce(text, F.lit("")), LINE_END), of)
+
+
+def states_all_clear(text: Column) -> Column:
+    """Whether the phrase stands in a report before its footnotes, which name the levels and might hold it; line ends in it don't matter."""
+    body = F.get(F.split(F.coalesce(text, F.lit("")), FOOTNOTES, 2), F.lit(0))
+    return body.rlike(ALL_CLEAR)
+
+
+def report_text_verdict(reports: DataFrame, level: float = 72.0) -> DataFrame:
+    """``report_verdict`` from ``report`` and its whole ``text``, with ``reasons``: structs of a code and a sentence, in order.
+
+    A report without a usable value is an anomaly, and then its missing phrase is no further reason. Null and empty texts are
+    anomalies; repeated rows each get a row; an empty table gives no rows.
+    """
+    rows = reports.select("report", stated_days(F.col("text")).alias("days"), states_all_clear(F.col("text")).alias("all_clear"))
+    values = F.filter(F.transform("days", lambda d: d["value"]), lambda v: v.isNotNull())
+    rows = rows.withColumn("n_days", F.size("days")).withColumn("values", values)
+    number = F.array_max(F.transform(F.filter("values", lambda v: ~v.startswith("<")), lambda v: v.cast("double")))
+    rows = rows.withColumn("max_numeric", number)
+    token = F.when(F.col("max_numeric").isNotNull(), S.compact_number(F.col("max_numeric"))).when(F.size("values") > 0, "<1").otherwise("")
+    rows = rows.withColumns({"value_token": token, "all_below_1": F.col("max_numeric").isNull() & (F.size("values") > 0), "exceed_24h": F.coalesce(F.col("max_numeric") >= level, F.lit(False)), "parse_anomaly": F.size("values") == 0})
+    unit = f"{level:g} ppb"
+    said = {
+        "exceedance": (F.col("exceed_24h"), F.concat(F.lit("a day's mean of "), "value_token", F.lit(f" ppb reaches the level of {unit}"))),
+        "no values": (F.col("parse_anomaly"), F.lit("no day's mean was found in the text: look at the report itself")),
+        "no all-clear": (~F.col("parse_anomaly") & ~F.col("all_clear"), F.lit("the report doesn't say that no notifications were required")),
+    }
+    reasons = F.array(*[F.when(holds, F.struct(F.lit(code).alias("code"), text.alias("text"))) for code, (holds, text) in said.items()])
+    rows = rows.withColumn("reasons", F.filter(reasons, lambda r: r.isNotNull()))
+    alert = F.size("reasons") > 0
+    return rows.select(
+        "report", "n_days", "max_numeric", "value_token", "all_below_1", "all_clear", "exceed_24h", "parse_anomaly", alert.alias("alert"), F.when(alert, "alert").otherwise("routine").alias("severity"), "reasons"
+    )
+
+
 def audience(verdicts: DataFrame, backlog: Column) -> DataFrame:
     """Who hears of a report: everybody of an exceedance, the review list of other alerts, nobody of a backlog."""
     who = F.when(backlog, "suppressed").when(F.col("exceed_24h"), "all").when(F.col("alert"), "review").otherwise("none")

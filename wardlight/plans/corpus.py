@@ -23,11 +23,15 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGES = """pages_ AS (SELECT doc_id AS doc, unnest(range(len(s))) AS page, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"""
 
 
-def _hits_sql(label: str, pattern: str, negative: str | None) -> str:
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _hits_sql(label: str, pattern: str, negative: str | None, source: str = "pages_") -> str:
     near = f"WHERE NOT regexp_matches(substr(text, greatest(pos - 45, 1), size + 45 + pos - greatest(pos - 45, 1)), '(?i){negative}')" if negative else ""
     return f"""SELECT doc, page, '{label}' AS label, pos, trim(regexp_replace(substr(text, greatest(pos - 130, 1), size + 130 + pos - greatest(pos - 130, 1)), '\\s+', ' ', 'g')) AS snippet FROM (
   SELECT doc, page, text, CAST(1 + list_sum(gaps[1:k + 1]) + coalesce(list_sum(list_transform(hits[1:k], lambda x: length(x))), 0) AS INT) AS pos, length(hits[k + 1]) AS size FROM (
-    SELECT *, unnest(range(len(hits))) AS k FROM (SELECT doc, page, text, regexp_extract_all(text, '(?i){pattern}') AS hits, list_transform(string_split_regex(text, '(?i){pattern}'), lambda x: length(x)) AS gaps FROM pages_) WHERE len(hits) > 0)) {near}"""
+    SELECT *, unnest(range(len(hits))) AS k FROM (SELECT doc, page, text, regexp_extract_all(text, '(?i){pattern}') AS hits, list_transform(string_split_regex(text, '(?i){pattern}'), lambda x: length(x)) AS gaps FROM {source}) WHERE len(hits) > 0)) {near}"""
 
 
 HITS = f"""{PAGES}, raw AS ({" UNION ALL ".join(_hits_sql(t.label, t.positive, t.negative) for t in TERMS)}),
@@ -93,6 +97,30 @@ def _default_sql() -> str:
     return " UNION ALL ".join(each)
 
 
+#: What is added to the corpus' lines, in turn, so that the default terms and what may not stand near them occur.
+PHRASES = (
+    "", "The boiler house boils over.", "Leachate boils on the deck.", "a legal settlement agreement", "Differential settlement of 3 ft", "settling near the toe", "Cave-ins and sink holes, a landslide", "steam turbine fumes",
+    "it steams, fuming all day", "TS-01 and TSO1", "an outbreak of brown leachate; standing leachate", "Subsurface smoldering at elevated temperatures", "slumping, sloughing, slope failure", "",
+)
+
+
+def phrase_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' lines as pages, each with a phrase behind it."""
+    turn = F.pmod(F.col("doc") * 5 + F.col("page"), F.lit(len(PHRASES))).cast("int")
+    return doc_pages(spark, sf_dir).withColumn("text", F.concat_ws(" ", "text", F.get(F.lit(list(PHRASES)), turn)))
+
+
+PHRASE_HITS = f"""{PAGES}, phrased AS (SELECT doc, page, text || ' ' || ([{", ".join(_quoted(x) for x in PHRASES)}])[(doc * 5 + page) % {len(PHRASES)} + 1] AS text FROM pages_),
+raw AS ({" UNION ALL ".join(_hits_sql(t.label, t.positive, t.negative, "phrased") for t in c.DEFAULT_TERMS)})
+SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY doc, label, lower(substr(snippet, 1, 70)) ORDER BY page, pos) = 1"""
+
+
+@query("default_term_search", f"WITH {PHRASE_HITS}")
+def default_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All default terms with what may not stand near them, in one pass."""
+    return c.term_hits(phrase_pages(spark, sf_dir), c.DEFAULT_TERMS)
+
+
 @query("default_term_documents", _default_sql())
 def default_term_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which each default term matches, before its negative pattern."""
@@ -162,30 +190,52 @@ def mention_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.whole_word_context(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), ids)
 
 
+#: What stands at an article's end in some pages: references of all kinds; a source and a style url; a main element around.
+REFERENCES = "<p>caf&eacute; &#8364;5 &#x41;&hellip; &notit; &unknown; R&ampD &lt;b&gt;</p></article>"
+ASSETS = """<img src="/img/p.png?x=1"><div style="background:url( '/bg.png#f' )">&nbsp;behind&nbsp;it&nbsp;</div></article>"""
+AROUND = "</article><p>after the article</p></main><p>outside</p>"
+
+
 def pages(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
-    """Pages; the second version adds a cache mark to every link, a paragraph to each fifth page and a link to the page after it."""
-    p = table(spark, sf_dir, "pages")
+    """Pages; the second version adds a cache mark to every link, a paragraph to each fifth page, a link to the page after it and a source to some."""
+    end, k = F.lit("</article>"), F.col("page_id") % 7
+    more = F.when(k == 2, REFERENCES).when(k == 3, ASSETS).when(k == 4, AROUND).otherwise(end)
+    html = F.replace("html", end, more)
+    html = F.when(k == 4, F.replace(html, F.lit("<article>"), F.lit('<main class="m"><article>'))).otherwise(html)
+    p = table(spark, sf_dir, "pages").withColumn("html", html)
     if version == 1:
         return p
-    html = F.regexp_replace("html", r'href="([^"]*)"', r'href="$1?cb=9"')
-    more = F.when(F.col("page_id") % 5 == 0, "<p>An added line stands here.</p></article>").when(F.col("page_id") % 5 == 1, '<a href="/added"></a></article>').otherwise("</article>")
-    return p.withColumn("html", F.replace(html, F.lit("</article>"), more))
+    html = F.replace(F.regexp_replace("html", r'href="([^"]*)"', r'href="$1?cb=9"'), F.lit("/bg.png"), F.when(F.col("page_id") % 2 == 0, "/new.png").otherwise("/bg.png"))
+    more = F.when(F.col("page_id") % 5 == 0, "<p>An added line stands here.</p></article>").when(F.col("page_id") % 5 == 1, '<a href="/added"></a></article>').otherwise(end)
+    return p.withColumn("html", F.replace(html, end, more))
 
 
-def _clean(x: str) -> str:
-    out = f"""regexp_replace(regexp_replace(regexp_replace({x}, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section|article)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"""
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        out = f"replace({out}, '{name}', '{char}')"
-    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: y <> '')"
+def _decoded(x: str) -> str:
+    """The references that the pages hold, and one that holds another one's name."""
+    for name, char in (("nbsp;", "\xa0"), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("#39;", "'"), ("middot;", "·"), ("copy;", "©"), ("eacute;", "é"), ("#8364;", "€"), ("#x41;", "A"), ("hellip;", "…"), ("notit;", "¬it;"), ("amp;", "&"), ("amp", "&")):
+        x = f"replace({x}, '&{name}', {_quoted(char)})"
+    return x
 
 
-def _version_sql(name: str, html: str) -> str:
-    return f"""{name} AS (SELECT page_id, url, {_clean("r")} AS lines, list_sort(list_distinct(list_transform(regexp_extract_all(r, '(?i)<a\\b[^>]*?href="([^"]*)"', 1), lambda y: regexp_extract(y, '^([^?#]*)', 1)))) AS links
-  FROM (SELECT page_id, url, regexp_extract({html}, '(?is)<(?:main|article)\\b[^>]*>(.*?)</(?:main|article)>', 1) AS r FROM pages))"""
+def _clean(x: str) -> str:
+    text = f"""regexp_replace(regexp_replace({x}, '(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section|article|main)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"""
+    return f"list_filter(list_transform(string_split({_decoded(text)}, chr(10)), lambda y: trim(regexp_replace(y, '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ' || chr(160))), lambda y: y <> '')"
 
 
-V1 = _version_sql("v1", "html")
-V2 = _version_sql("v2", """replace(regexp_replace(html, 'href="([^"]*)"', 'href="\\1?cb=9"', 'g'), '</article>', CASE page_id % 5 WHEN 0 THEN '<p>An added line stands here.</p></article>' WHEN 1 THEN '<a href="/added"></a></article>' ELSE '</article>' END)""")
+def _version_sql(name: str, html: str) -> str:
+    targets = """list_concat(regexp_extract_all(r, '(?i)(?:href|src)\\s*=\\s*"([^"]+)"', 1), regexp_extract_all(r, '(?i)url\\(\\s*[''"]?([^)''"]+?)[''"]?\\s*\\)', 1))"""
+    return f"""{name} AS (SELECT page_id, url, {_clean("r")} AS lines, list_sort(list_distinct(list_filter(list_transform({targets}, lambda y: trim(regexp_extract({_decoded("y")}, '^([^?#]*)', 1))), lambda y: y <> ''))) AS links
+  FROM (SELECT page_id, url, regexp_replace(regexp_replace(CASE WHEN regexp_matches(h, '(?is)<main\\b[^>]*>.*?</main>') THEN regexp_extract(h, '(?is)<main\\b[^>]*>(.*?)</main>', 1) ELSE regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article>', 1) END,
+    '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS r FROM (SELECT page_id, url, {html} AS h FROM {"pages_2" if name == "v2" else "pages"})))"""
+
+
+FIRST = f"""CASE page_id % 7 WHEN 2 THEN replace(html, '</article>', {_quoted(REFERENCES)}) WHEN 3 THEN replace(html, '</article>', {_quoted(ASSETS)})
+  WHEN 4 THEN replace(replace(html, '</article>', {_quoted(AROUND)}), '<article>', '<main class="m"><article>') ELSE html END"""
+V1 = _version_sql("v1", FIRST)
+V2 = f"pages_2 AS (SELECT page_id, url, {FIRST} AS html FROM pages), " + _version_sql(
+    "v2",
+    """replace(replace(regexp_replace(html, 'href="([^"]*)"', 'href="\\1?cb=9"', 'g'), '/bg.png', CASE WHEN page_id % 2 = 0 THEN '/new.png' ELSE '/bg.png' END), '</article>', CASE page_id % 5 WHEN 0 THEN '<p>An added line stands here.</p></article>' WHEN 1 THEN '<a href="/added"></a></article>' ELSE '</article>' END)""",
+)
 
 
 @query(

@@ -22,25 +22,51 @@ LONG = """long AS (
 BASE = f"WITH {views.READINGS}"
 
 
+def _reason_sql(column: str, action: str | None, watch: str | None) -> str:
+    """A pollutant's reason in words; an ``action`` of None is judged elsewhere."""
+    value = f"CASE WHEN {column} = floor({column}) THEN CAST(CAST({column} AS BIGINT) AS VARCHAR) ELSE CAST({column} AS VARCHAR) END"
+    name = f"'{column.upper()}=' || {value}"
+    over = f"WHEN 'exceedance' THEN {name} || ' reaches the action level {action}' " if action else ""
+    near = f"WHEN 'watch' THEN {name} || ' reaches the watch level {watch}, below the action level {action}' " if watch else ""
+    return f"CASE {column}_status {over}{near}WHEN 'sentinel' THEN {name} || ' is a sentinel' END"
+
+
+def _reasons_sql(*each: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(each)}], lambda x: x IS NOT NULL), '; ')"
+
+
+REASONS = _reasons_sql(_reason_sql("h2s", "72", None), _reason_sql("ch4", "500", "40"))
+
+
 @query(
     "reading_classify",
     f"""{BASE}, {STATUS}
 SELECT oid, station, h2s_status, ch4_status,
   CASE WHEN 'exceedance' IN (h2s_status, ch4_status) THEN 'urgent' WHEN 'watch' IN (h2s_status, ch4_status) THEN 'watch' WHEN 'sentinel' IN (h2s_status, ch4_status) THEN 'anomaly' ELSE 'ok' END AS severity,
-  CAST(h2s_status IN ('exceedance', 'sentinel') AS INT) + CAST(ch4_status IN ('exceedance', 'watch', 'sentinel') AS INT) AS n_reasons FROM classed""",
+  CAST(h2s_status IN ('exceedance', 'sentinel') AS INT) + CAST(ch4_status IN ('exceedance', 'watch', 'sentinel') AS INT) AS n_reasons,
+  {REASONS} AS reasons FROM classed""",
 )
 def reading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.classify(views.readings(spark, sf_dir)).select("oid", "station", "h2s_status", "ch4_status", "severity", "n_reasons")
+    rows = r.classify(views.readings(spark, sf_dir)).withColumn("reasons", F.array_join(F.transform("reasons", r.told), "; "))
+    return rows.select("oid", "station", "h2s_status", "ch4_status", "severity", "n_reasons", "reasons")
 
 
-@query(
-    "alert_lines",
-    f"""{BASE}, {STATUS}
-SELECT oid, station, CASE ch4_status WHEN 'exceedance' THEN 'EXCEEDANCE' WHEN 'watch' THEN 'WATCH' ELSE 'ANOMALY' END AS line
-FROM classed WHERE ch4_status IN ('exceedance', 'watch', 'sentinel') OR h2s_status = 'sentinel'""",
-)
+def lines_sql(sentinels: bool) -> str:
+    ch4 = "WHEN ch4_status = 'exceedance' THEN 'EXCEEDANCE' WHEN ch4_status = 'watch' THEN 'watch'"
+    kind = f"CASE {ch4} WHEN 'sentinel' IN (h2s_status, ch4_status) THEN 'anomaly' END" if sentinels else f"CASE {ch4} END"
+    reasons = _reasons_sql(*([_reason_sql("h2s", None, None)] if sentinels else []), _reason_sql("ch4", "500", "40"))
+    return f"""{BASE}, {STATUS}, k AS (SELECT *, {kind} AS kind, {reasons} AS reasons FROM classed)
+SELECT oid, station, kind || ' ' || station || ' ' || strftime(ts, '%Y-%m-%d %H:%M') || ': ' || reasons AS line FROM k WHERE kind IS NOT NULL"""
+
+
+@query("alert_lines", lines_sql(True))
 def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.alert_lines(r.classify(views.readings(spark, sf_dir))).select("oid", "station", "line")
+    return r.alert_lines(views.readings(spark, sf_dir)).select("oid", "station", "line")
+
+
+@query("alert_lines_without_sentinels", lines_sql(False))
+def alert_lines_without_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.alert_lines(views.readings(spark, sf_dir), on_sentinel=False).select("oid", "station", "line")
 
 
 @query("reading_unpivot", f"{BASE}, {LONG} SELECT * FROM long")
@@ -105,7 +131,7 @@ def rolling_avg_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     "capture_downsample",
     f"""WITH RECURSIVE {views.READINGS}, {STATUS},
 r AS (SELECT station, ts, oid, h2s_status NOT IN ('exceedance', 'watch') AND ch4_status NOT IN ('exceedance', 'watch') AS calm FROM classed WHERE starts_with(station, 'MS-')),
-c AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY ts, oid) AS k FROM r WHERE calm),
+c AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY oid) AS k FROM r WHERE calm),
 w AS (
   SELECT station, k, ts, oid, ts AS last, true AS keep FROM c WHERE k = 1
   UNION ALL

@@ -123,3 +123,22 @@ def monthly_report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def audience_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.audience(verdicts(spark, sf_dir), F.col("report") % 10 == 9).select("report", "severity", "audience", "alert_cell")
+
+
+@query(
+    "report_text_verdict",
+    f"""WITH {L.REPORT_TEXTS},
+l AS (SELECT report, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM report_texts),
+f AS (SELECT *, lead(line) OVER w AS next, lead(n) OVER w AS spot FROM l WHERE trim(line) <> '' WINDOW w AS (PARTITION BY report ORDER BY n)),
+d AS (SELECT report, CASE WHEN spot - n <= 3 AND regexp_full_match(next, '\\s*(<\\s*1|\\d{{1,4}}(\\.\\d+)?)\\s*') THEN replace(trim(next), ' ', '') END AS value FROM f WHERE regexp_full_match(line, '\\s*\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}}\\s*')),
+s AS (SELECT report, count(*) AS n_days, count(value) AS tokens, max(CASE WHEN value NOT LIKE '<%' THEN CAST(value AS DOUBLE) END) AS m FROM d GROUP BY report),
+v AS (SELECT t.report, coalesce(n_days, 0)::INT AS n_days, m AS max_numeric, CASE WHEN m IS NOT NULL THEN CAST(CAST(m AS BIGINT) AS VARCHAR) WHEN tokens > 0 THEN '<1' ELSE '' END AS value_token, m IS NULL AND coalesce(tokens, 0) > 0 AS all_below_1,
+  regexp_matches(regexp_extract(text, '(?s)^(.*?)(\\n\\s*1\\s+Notifications\\b.*)?$', 1), '(?i)no\\s+notifications?\\s+required\\s+to\\s+be\\s+sent') AS all_clear, coalesce(m >= 10, false) AS exceed_24h, coalesce(tokens, 0) = 0 AS parse_anomaly
+  FROM report_texts t LEFT JOIN s USING (report))
+SELECT *, exceed_24h OR parse_anomaly OR NOT all_clear AS alert, CASE WHEN exceed_24h OR parse_anomaly OR NOT all_clear THEN 'alert' ELSE 'routine' END AS severity,
+  array_to_string(list_filter([CASE WHEN exceed_24h THEN 'exceedance: a day''s mean of ' || value_token || ' ppb reaches the level of 10 ppb' END, CASE WHEN parse_anomaly THEN 'no values: no day''s mean was found in the text: look at the report itself'
+    WHEN NOT all_clear THEN 'no all-clear: the report doesn''t say that no notifications were required' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM v""",
+)
+def report_text_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = q.report_text_verdict(L.report_texts(spark, sf_dir), 10.0)
+    return found.withColumn("reasons", F.array_join(F.transform("reasons", lambda r: F.concat_ws(": ", r["code"], r["text"])), "; "))

@@ -16,6 +16,7 @@ from wardlight.operators import state as st
 from wardlight.plans.evidence import _routes, URGENT
 from wardlight.plans.registry import query
 from wardlight.sources import landed, sinks, views
+from wardlight.sources.manifest import Book, latest_by
 from wardlight.sources.tables import scratch, table
 
 FIELDS = ("permit", "status", "category", "effective")
@@ -169,14 +170,42 @@ def settings_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {views.FILINGS} SELECT 'feed' AS tab, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM filings UNION ALL SELECT 'evidence', count(*), CAST(sum(doc_id) AS BIGINT) FROM filings WHERE doc_id % 2 = 0""",
 )
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.filings(spark, sf_dir).select("doc_id", F.lit("new").alias("status"))
-    batched = T.StructType([*LOG.fields, T.StructField("batch", T.StringType())])
-    paths = [scratch(spark, n) for n in ("feed", "evidence")]
-    sinks.fan_out(docs, "b1", [(docs, paths[0], batched), (docs.where("doc_id % 2 = 0"), paths[1], batched)])
-    counts = [sinks.stored(spark, p, batched).where("batch = 'b1'").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).select(F.lit(n).alias("tab"), "n", "ids") for n, p in zip(("feed", "evidence"), paths, strict=True)]
+    """A batch to two tables in one commit; its second publication changes nothing."""
+    docs, book = views.filings(spark, sf_dir).select("doc_id", F.lit("new").alias("status")), Book(spark, scratch(spark, "fan-out"))
+    for _ in range(2):
+        book.publish("b1", {"feed": (docs, LOG), "evidence": (docs.where("doc_id % 2 = 0"), LOG)})
+    counts = [book.read(n, LOG).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).select(F.lit(n).alias("tab"), "n", "ids") for n in ("feed", "evidence")]
     return counts[0].unionByName(counts[1])
 
 
+@query(
+    "purge_commit",
+    f"""WITH {views.FILINGS} SELECT 'feed' AS tab, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM filings WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 7)
+UNION ALL SELECT 'evidence', count(*), CAST(sum(doc_id) AS BIGINT) FROM filings WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 7)""",
+)
+def purge_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings of some customers taken from two tables at once; files without them stay as they are."""
+    docs, book = views.filings(spark, sf_dir).select("doc_id", F.lit("new").alias("status")), Book(spark, scratch(spark, "purge"))
+    book.publish("b1", {"feed": (docs.repartitionByRange("doc_id"), LOG), "evidence": (docs.where("doc_id % 2 = 0"), LOG)})
+    ids = table(spark, sf_dir, "orders").where("o_custkey % 50 = 7").select(F.col("o_orderkey").alias("doc_id"))
+    book.purge({"feed": LOG, "evidence": LOG}, ids)
+    counts = [book.read(n, LOG).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).select(F.lit(n).alias("tab"), "n", "ids") for n in ("feed", "evidence")]
+    return counts[0].unionByName(counts[1])
+
+
+@query("compacted_log", "SELECT 'k' || (o_custkey % 100) AS key, arg_max(o_orderstatus, o_orderkey) AS value, max(o_orderkey) AS ord FROM orders GROUP BY 1")
+def compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest value of each key from a folded state of two batches and a third one behind it."""
+    o, book = table(spark, sf_dir, "orders"), Book(spark, scratch(spark, "log"))
+    rows = o.select(F.concat(F.lit("k"), F.col("o_custkey") % 100).alias("key"), F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("ord"))
+    fold = latest_by("key", order="ord")
+    for third in range(3):
+        book.publish(f"b{third}", {"settings": (rows.where(F.col("ord") % 3 == third), SETTING)})
+        if third == 1:
+            book.compact("settings", SETTING, fold)
+    return book.folded("settings", SETTING, fold)
+
+
 @query(
     "immutable_capture",
     "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1",

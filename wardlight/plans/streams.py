@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlight.plans.readings import BASE, STATUS
+from wardlight.plans.readings import BASE, lines_sql
 from wardlight.plans.registry import query
 from wardlight.sources import views
 from wardlight.sources.tables import scratch, table
@@ -25,9 +25,7 @@ def _drained(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 @query(
     "stream_poll_alerts",
-    f"""{BASE}, {STATUS}
-SELECT oid, station, CASE ch4_status WHEN 'exceedance' THEN 'EXCEEDANCE' WHEN 'watch' THEN 'WATCH' ELSE 'ANOMALY' END AS line
-FROM classed WHERE (ch4_status IN ('exceedance', 'watch', 'sentinel') OR h2s_status = 'sentinel') AND oid > {HALF}""",
+    f"SELECT * FROM ({lines_sql(True)}) WHERE oid > {HALF}",
 )
 def stream_poll_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of the second poll; the first one only sets the baseline. Rows come by arrival, so late stamps count."""
@@ -41,18 +39,24 @@ def stream_poll_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(shape).parquet(f"{out}/alerts").select("oid", "station", "line")
 
 
-@query(
-    "stream_sliding_mean",
-    f"""{BASE}, u AS (SELECT station, ts, h2s FROM readings WHERE h2s IS NOT NULL AND h2s <> 999),
+MEANS = f"""{BASE}, u AS (SELECT station, ts, h2s FROM readings WHERE h2s IS NOT NULL AND h2s <> 999),
 w AS (SELECT station, date_trunc('hour', ts) - to_hours(CAST(k AS INT)) AS start, h2s FROM u, range(24) r(k))
-SELECT station, start, start + INTERVAL 24 HOURS AS "end", round(avg(h2s), 6) AS avg, count(*) AS n FROM w GROUP BY station, start""",
-)
+SELECT station, start, start + INTERVAL 24 HOURS AS "end", round(CAST(sum(CAST(h2s AS DECIMAL(28, 6))) AS DOUBLE) / count(*), 6) AS avg, count(*) AS n FROM w GROUP BY station, start"""
+
+
+@query("stream_sliding_mean", MEANS)
 def stream_sliding_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream keeps panes, a row a station and hour; means are made of these."""
     rows = views.readings(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in jobs.READING.fields])
     path = scratch(spark, "mean-in")
     rows.write.parquet(path)
-    found = jobs.sliding_average(jobs.source(spark, path, files=EVERY_FILE))
-    return _drained(spark, found, "sliding-mean").withColumn("avg", F.round("avg", 6))
+    panes = _drained(spark, jobs.hourly_panes(jobs.source(spark, path, files=EVERY_FILE)), "panes")
+    return jobs.sliding_means(panes).withColumn("avg", F.round("avg", 6))
+
+
+@query("sliding_mean", MEANS)
+def sliding_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.sliding_means(jobs.hourly_panes(views.readings(spark, sf_dir))).withColumn("avg", F.round("avg", 6))
 
 
 @query(

@@ -75,3 +75,29 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPORT_ROWS = """days AS (
   SELECT user_id % 50 AS report, CAST(ts AS DATE) AS day, min(value) AS v FROM events GROUP BY ALL),
 vals AS (SELECT report, CASE WHEN day(day) % 9 IN (0, 4) THEN NULL WHEN v < 1 THEN '<1' ELSE CAST(CAST(floor(v) AS BIGINT) AS VARCHAR) END AS value FROM days)"""
+
+
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole monthly reports, one for each user and month: a head, the days' lines, a sentence of clearance (broken over lines, or missing), footnotes that name levels and may repeat it."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    days = e.groupBy("user_id", "day").agg(F.min("value").alias("v"))
+    value = F.when(F.col("v") < 1, F.when(F.col("user_id") % 4 == 0, "< 1").otherwise("<1")).otherwise(F.floor("v").cast("string"))
+    shown = F.concat(F.month("day"), F.lit("/"), F.dayofmonth("day"), F.lit("/"), F.when(F.col("user_id") % 2 == 1, F.year("day") % 100).otherwise(F.year("day")))
+    line = F.when(F.dayofmonth("day") % 9 == 0, F.concat(shown, F.lit("\n\n\n\n"), value)).when(F.dayofmonth("day") % 9 == 4, F.concat(shown, F.lit("\nn/a"))).otherwise(F.concat(shown, F.lit("\n \n"), value))
+    month = F.date_format("day", "yyyy-MM")
+    rows = days.select("user_id", month.alias("month"), "day", line.alias("line")).groupBy("user_id", "month").agg(F.sort_array(F.collect_list(F.struct("day", "line"))).alias("s"))
+    body = F.array_join(F.transform("s", lambda x: x["line"]), "\n")
+    k = F.col("user_id") % 5
+    clear = F.when(k == 0, "There were no  notifications\nrequired to be sent.").when(k == 1, "No notification required to\n be sent").when(k == 2, "Notifications were required.").otherwise("")
+    notes = F.when(F.col("user_id") % 3 == 0, "\n 1 Notifications are sent if a mean exceeds 72 ppb;\nelse there are no notifications required to be sent.").otherwise("")
+    return rows.select(F.concat_ws(" ", "user_id", "month").alias("report"), F.concat(F.lit("Monthly report "), "month", F.lit("\n\nDate\nMean\n"), body, F.lit("\n\n"), clear, notes).alias("text"))
+
+
+REPORT_TEXTS = """report_days AS (SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS v FROM events GROUP BY ALL),
+report_day_lines AS (SELECT *, month(day) || '/' || day(day) || '/' || (CASE WHEN user_id % 2 = 1 THEN year(day) % 100 ELSE year(day) END) AS shown,
+  CASE WHEN v < 1 THEN CASE WHEN user_id % 4 = 0 THEN '< 1' ELSE '<1' END ELSE CAST(CAST(floor(v) AS BIGINT) AS VARCHAR) END AS value FROM report_days),
+report_texts AS (SELECT user_id || ' ' || strftime(day, '%Y-%m') AS report, 'Monthly report ' || strftime(day, '%Y-%m') || chr(10) || chr(10) || 'Date' || chr(10) || 'Mean' || chr(10)
+  || string_agg(CASE WHEN day(day) % 9 = 0 THEN shown || repeat(chr(10), 4) || value WHEN day(day) % 9 = 4 THEN shown || chr(10) || 'n/a' ELSE shown || chr(10) || ' ' || chr(10) || value END, chr(10) ORDER BY day) || chr(10) || chr(10)
+  || CASE user_id % 5 WHEN 0 THEN 'There were no  notifications' || chr(10) || 'required to be sent.' WHEN 1 THEN 'No notification required to' || chr(10) || ' be sent' WHEN 2 THEN 'Notifications were required.' ELSE '' END
+  || CASE WHEN user_id % 3 = 0 THEN chr(10) || ' 1 Notifications are sent if a mean exceeds 72 ppb;' || chr(10) || 'else there are no notifications required to be sent.' ELSE '' END AS text
+  FROM report_day_lines GROUP BY user_id, strftime(day, '%Y-%m'))"""

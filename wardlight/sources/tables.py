@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in one go."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def mark(spark: SparkSession) -> int:
+    """How many intermediate tables have been written, for ``discard``."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, since: int, keep: Sequence[str] = ()) -> None:
+    """Deletes the intermediate tables written since a ``mark``, but for those with the labels in ``keep``; for steps whose results no longer read them."""
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in made[since:] if p.rsplit("/", 1)[-1].rsplit("-", 1)[0] not in keep]
+    for path in gone:
+        remove(spark, path)
+        made.remove(path)
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes all intermediate tables that this application has written; for callers that are done with every result."""
     paths = _MADE.pop(spark.sparkContext.applicationId, [])

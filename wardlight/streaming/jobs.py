@@ -56,18 +56,36 @@ def poll(stream: DataFrame, out: str, checkpoint: str, cap: int = 100_000) -> St
                 put(r.captured(batch), "capture", CAPTURE)
             put(r.latest(classed, ["station"], "oid"), "status", STATUS)
             if not quiet:
-                put(r.alert_lines(classed), "alerts", ALERT)
+                put(r.alert_lines(batch), "alerts", ALERT)
         finally:
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sliding_average(stream: DataFrame, late: str = "2 days", size: str = "24 hours", slide: str = "1 hour") -> DataFrame:
-    """Mean and count of usable hydrogen sulfide values by station in sliding windows; late rows count up to the watermark."""
-    usable = stream.where(F.col("h2s").isNotNull() & (F.col("h2s") != r.H2S.sentinel)).withWatermark("ts", late)
-    sums = usable.groupBy(F.window("ts", size, slide), "station").agg(F.avg("h2s").alias("avg"), F.count("*").alias("n"))
-    return sums.select("station", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "avg", "n")
+def hourly_panes(readings: DataFrame, late: str = "2 days", slide: str = "1 hour") -> DataFrame:
+    """Sums and counts of usable hydrogen sulfide values by station and hour, of which sliding means are made; late rows count up to the watermark.
+
+    Values are added as decimals (to a millionth), so sums don't depend on the order of rows.
+    """
+    usable = readings.where(F.col("h2s").isNotNull() & (F.col("h2s") != r.H2S.sentinel))
+    usable = usable.withWatermark("ts", late) if readings.isStreaming else usable
+    return usable.groupBy(F.window("ts", slide).alias("pane"), "station").agg(F.sum(F.col("h2s").cast("decimal(28,6)")).alias("sum"), F.count("*").alias("n"))
+
+
+def sliding_means(panes: DataFrame, size: str = "24 hours", slide: str = "1 hour") -> DataFrame:
+    """Mean and count by station in sliding windows, from ``hourly_panes``: a pane, not a reading, goes to each window that holds it.
+
+    On a stream it is a second aggregation behind the first one, in append mode.
+    """
+    placed = panes.select("station", "sum", "n", F.window(F.window_time("pane") if panes.isStreaming else F.col("pane.start"), size, slide).alias("w"))
+    sums = placed.groupBy("w", "station").agg((F.sum("sum").cast("double") / F.sum("n")).alias("avg"), F.sum("n").alias("n"))
+    return sums.select("station", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "avg", "n")
+
+
+def sliding_average(readings: DataFrame, late: str = "2 days") -> DataFrame:
+    """Mean and count of usable hydrogen sulfide values by station in windows of a day that begin each hour."""
+    return sliding_means(hourly_panes(readings, late))
 
 
 def daily_counts(stream: DataFrame, late: str = "2 days") -> DataFrame:
