@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,55 @@ def stream_sliding_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.sliding_means(panes).withColumn("avg", F.round("avg", 6))
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _landed_until(spark: SparkSession, sf_dir: str, parts: int) -> tuple[str, int]:
+    """Readings landed in ``parts`` files in no order of time, and last a reading of no station long after them, which moves the watermark past all others; the number of files."""
+    rows = views.readings(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in jobs.READING.fields])
+    path = scratch(spark, "stream-in")
+    rows.repartition(parts, "oid").write.parquet(path)
+    end = rows.agg(F.max("ts")).first()[0]
+    if end is not None:
+        last = spark.createDataFrame([(None, "", end + dt.timedelta(days=60), None, None, None)], jobs.READING)
+        last.coalesce(1).write.mode("append").parquet(path)
+    return path, parts
+
+
+def _appended(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """All that a stream appends, by batch; its states are kept by RocksDB, which timers need."""
+    path, before = scratch(spark, name), spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        jobs.drain(df, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), scratch(spark, f"{name}-state"))
+    finally:
+        spark.conf.set(STORE, before)
+    return spark.read.schema(df.schema).option("basePath", path).parquet(f"{path}/batch=*").select(*df.columns)
+
+
+@query(
+    "stream_episodes",
+    f"""{BASE},
+m AS (SELECT station, ts, oid, h2s >= 72 AS s FROM readings WHERE h2s IS NOT NULL AND h2s <> 999),
+t AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY station ORDER BY ts, oid), false) AS b FROM m),
+o AS (SELECT *, lead(oid) OVER (PARTITION BY station ORDER BY ts, oid) AS recovered_oid FROM t WHERE s <> b)
+SELECT station, oid AS opened_oid, recovered_oid FROM o WHERE s""",
+)
+def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert episodes from readings that arrive in no order; an opening and its recovery are events of their own."""
+    path, files = _landed_until(spark, sf_dir, 3)
+    found = _appended(spark, jobs.episode_events(jobs.source(spark, path, files=files), late="60 days"), "episodes")
+    return found.groupBy("station", "opened_oid").agg(F.max("recovered_oid").alias("recovered_oid"))
+
+
+@query("stream_silences", f"{BASE} SELECT station, epoch_us(max(ts)) // 1000 AS as_of_ms FROM readings GROUP BY station")
+def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations silent for two days when readings end: all of them, each told once."""
+    path, files = _landed_until(spark, sf_dir, 1)
+    found = _appended(spark, jobs.silences(jobs.source(spark, path, files=files), 48), "silences")
+    return found.where("station <> ''")
+
+
 @query("sliding_mean", MEANS)
 def sliding_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.sliding_means(jobs.hourly_panes(views.readings(spark, sf_dir))).withColumn("avg", F.round("avg", 6))

@@ -101,8 +101,15 @@ def weekly_flush(stream: DataFrame, late: str = "7 days") -> DataFrame:
     return rows.groupBy(F.window("ts", "7 days", "7 days", "4 days"), "route").agg(F.count("*").alias("n")).select(F.col("window.start").alias("week"), "route", "n")
 
 
+ROW_STATE = T.StructType([T.StructField("ms", T.LongType()), T.StructField("oid", T.LongType()), T.StructField("over", T.BooleanType())])
+
+
 class Episodes(StatefulProcessor):
-    """Alerts of one station: one when the level is reached, none until a reading below it; silence changes nothing."""
+    """Alerts of one station: one when the level is reached, none until a reading below it; silence changes nothing.
+
+    Readings come in chunks in any order and wait in the state until the watermark has passed them; then they count in the order
+    of their stamps and ids. The state is the open alert and what waits, which the lateness bounds; chunks aren't put together.
+    """
 
     def __init__(self, level: float, sentinel: float):
         self.level, self.sentinel = level, sentinel
@@ -110,35 +117,54 @@ class Episodes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", T.StructType([T.StructField("oid", T.LongType())]))
+        self.waiting = handle.getListState("waiting", ROW_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat([part[["ts", "oid", "h2s"]] for part in rows]).sort_values(["ts", "oid"])  # a batch is bounded by the source's files
-        values, ids = batch["h2s"].to_numpy(), batch["oid"].to_numpy()
+        first = None
+        for part in rows:
+            part = part[part["h2s"].notna() & (part["h2s"] != self.sentinel) & part["ts"].notna()]
+            if len(part):
+                ms = part["ts"].astype("datetime64[ms]").astype("int64")
+                self.waiting.appendList([(int(t), int(o), bool(v >= self.level)) for t, o, v in zip(ms, part["oid"], part["h2s"], strict=True)])
+                first = int(ms.min()) if first is None else min(first, int(ms.min()))
+        if first is not None:
+            self.handle.registerTimer(first)
+        yield pd.DataFrame({"station": pd.Series(dtype="str"), "opened_oid": pd.Series(dtype="Int64"), "recovered_oid": pd.Series(dtype="Int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, later = [], []
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            (due if row[0] <= passed else later).append(tuple(row))
         began = self.open.get()[0] if self.open.exists() else None
         out = []
-        for value, oid in zip(values, ids, strict=True):
-            if pd.isna(value) or value == self.sentinel:
-                continue
-            if value >= self.level and began is None:
-                began = int(oid)
+        for _, oid, over in sorted(due):
+            if over and began is None:
+                began = oid
                 out.append((key[0], began, None))
-            elif value < self.level and began is not None:
-                out.append((key[0], began, int(oid)))
+            elif not over and began is not None:
+                out.append((key[0], began, oid))
                 began = None
         if began is None:
             self.open.clear()
         else:
             self.open.update((began,))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(later)[0])
+        else:
+            self.waiting.clear()
         yield pd.DataFrame(out, columns=["station", "opened_oid", "recovered_oid"]).astype({"opened_oid": "Int64", "recovered_oid": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def episode_events(stream: DataFrame, level: float = 72.0, sentinel: float = 999.0) -> DataFrame:
-    """Openings (no recovery yet) and recoveries of alert episodes, as they happen."""
+def episode_events(stream: DataFrame, level: float = 72.0, sentinel: float = 999.0, late: str = "2 days") -> DataFrame:
+    """Openings (no recovery yet) and recoveries of alert episodes, as the watermark passes them; readings later than ``late`` are dropped."""
     shape = "station string, opened_oid long, recovered_oid long"
-    return stream.groupBy("station").transformWithStateInPandas(Episodes(level, sentinel), shape, "Append", "None")
+    rows = stream.select("station", "ts", "oid", "h2s").withWatermark("ts", late)
+    return rows.groupBy("station").transformWithStateInPandas(Episodes(level, sentinel), shape, "Append", "EventTime")
 
 
 def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
