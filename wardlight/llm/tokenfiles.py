@@ -27,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +102,14 @@ class Pieces(dict):
         return ids
 
     def made(self, piece: str) -> bytes:
-        if WORD.fullmatch(piece):  # straight to the library's model: nothing of it needs to be cut
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isascii() and word.isalpha():  # straight to the library's model: nothing of a word needs to be cut
+            ids = [t.id for t in self.model.tokenize(word if word is piece else self.shown[32] + word)]
+        elif WORD.fullmatch(piece):
             ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
         else:
             ids = self.library.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -150,7 +154,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             raw = [encode(text or "") + close for text in batch.column("text").to_pylist()]
             sizes = np.array([len(r) // 4 for r in raw], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
+            ids = pa.array(np.frombuffer(b"".join(raw), "<i4"))
             tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids)
             columns = [pa.array(np.full(len(raw), part, np.int32)), batch.column("doc_id"), pa.array(sizes), pa.array(before + ends[:-1]), tokens, batch.column("meta")]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "n_tokens", "offset", "tokens", "meta"])
