@@ -44,6 +44,22 @@ def test_wide_csv(spark, tmp_path):
         landed.wide_csv(spark, str(tmp_path), ["srn", "task", "note"], {"srn": ["N1"]}).collect()
 
 
+def test_wide_csv_in_many_blocks_with_keys_of_a_table(spark, tmp_path):
+    names = [f"c{k}" for k in range(22)]
+    lines = [",".join(f"v{k * n % 7}" if k else f"N{n % 5}" for k in range(22)) for n in range(3000)]
+    for f in range(2):
+        (tmp_path / f"{f}.csv").write_text("\n".join(["Title" + "," * 21, ",".join(names), *lines[f::2]]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        keys = spark.createDataFrame([("N1",), ("N4",), ("N4",), ("c0",), (None,)], "c0 string")
+        df = landed.wide_csv(spark, str(tmp_path), names, {"c0": keys})
+        got = sorted(",".join(r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(x for x in lines if x.split(",")[0] in ("N1", "N4"))
+
+
 def test_corpus_walk(spark, tmp_path):
     for d in ("a", "skip"):
         (tmp_path / d).mkdir()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,18 +59,32 @@ def in_list(df: DataFrame, ids: DataFrame, key: str, needed: Sequence[str] = ())
     return with_columns_checked(df, [key, *needed]).join(ids.select(key).distinct(), key, "left_semi")
 
 
-def wide_csv(spark: SparkSession, path: str, columns: Sequence[str], keep: dict[str, Sequence[str]], header_rows: int = 2) -> DataFrame:
-    """A CSV of fixed width with several header rows, kept by exact keys; a row of another width fails the job."""
+def wide_csv(spark: SparkSession, path: str, columns: Sequence[str], keep: dict[str, Sequence[str] | DataFrame], header_rows: int = 2) -> DataFrame:
+    """A CSV of fixed width with several header rows, kept by exact keys (a list, or a table with a column of that name); a row of another width fails the job.
+
+    Header rows are skipped by the task that reads a file's first block, as they pass by: nothing is shuffled for them.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_bad"]])
     df = spark.read.schema(schema).csv(path, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE", quote='"', escape='"')
-    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
-    if header_rows:  # they stand in the first block of each file
-        nth = F.row_number().over(W.partitionBy("_file").orderBy("_at"))
-        top = rows.where("_start = 0").select("_file", "_at", nth.alias("_n")).where(F.col("_n") <= header_rows).select("_file", "_at")
-        rows = rows.join(top, ["_file", "_at"], "left_anti")
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    if header_rows:
+        names = [*columns, "_bad"]
+
+        def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            passed: dict[str, int] = {}  # a task reads a block from its start, a row after the other
+            for batch in batches:
+                kept = []
+                for file, start in zip(batch.column("_file").to_pylist(), batch.column("_start").to_pylist(), strict=True):
+                    seen = passed.get(file, 0) if start == 0 else header_rows
+                    kept.append(seen >= header_rows)
+                    if start == 0 and seen < header_rows:
+                        passed[file] = seen + 1
+                yield batch.select(names).filter(pa.array(kept, pa.bool_()))
+
+        rows = rows.mapInArrow(body, schema)
     rows = rows.where(F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("wrong width: "), F.left("_bad", F.lit(80)))).cast("boolean")).otherwise(F.lit(True)))
     for column, values in keep.items():
-        rows = rows.where(F.col(column).isin(*values))
+        rows = rows.join(values.select(column).distinct(), column, "left_semi") if isinstance(values, DataFrame) else rows.where(F.col(column).isin(*values))
     return rows.select(*columns)
 
 
