@@ -4,7 +4,7 @@ Patterns give spans (code points, end exclusive): ``split`` leaves what stands b
 ``regexp_extract_all`` the matches, so running lengths are their places. Both are evaluated once a text, and
 running values are taken in parts, so time grows with the text, not with its hits' square. Each span's value is
 hashed, and over the whole corpus a hash has a number of distinct owners and of distinct
-repositories. A varied value with one owner, in few repositories, looks live; one that many
+repositories. A varied value with one owner, in any number of its repositories, looks live; one that many
 owners hold is a copied example. Vendor-format tokens are added as spans only where they look
 live; pattern spans always stay.
 
