@@ -117,3 +117,10 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert tokenfiles.read_documents(spark, path, 0, 5).collect() == []
     with pytest.raises(ValueError, match="only byte-level"):
         tokenfiles.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_words_are_spelt_letter_by_letter():
+    pieces = tokenfiles.Encoder(PATH).pieces
+    assert "".join(map(pieces.spell, "ßж")) == "ÃŁÐ¶"
+    for piece in ("word", " word", "ß", " Ж", " Größe", "ʰa", " ", "   ", " 12", "中文", " a²", "é" * 70):
+        assert [np.frombuffer(pieces.made(piece), "<u4").tolist()] == library([piece])

@@ -27,7 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from struct import pack
+from struct import Struct, pack
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ MARKS = r".,;:!?)\]}\"$%&*#|@"
 #: Pieces of a text whose ends are cuts of the pretokenizer in any context: a word before a mark or white space, marks before white
 #: space, what else holds together, white space up to its last character, and that one. A space goes with what follows.
 PIECE = re.compile(rf" ?[{LETTERS}]++(?=[ .,\n])| ?[{LETTERS}0-9]++(?![^{MARKS}{SPACE}])| ?[{MARKS}]++(?![^{SPACE}])| ?[^{SPACE}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-#: A word alone, which the pretokenizer leaves whole.
-WORD = re.compile(f" ?[{LETTERS}]+")
+#: Letters of words, which the pretokenizer leaves whole.
+LETTER = re.compile(f"[{LETTERS}]")
 #: Longest piece that is remembered.
 LONGEST = 64
 #: Documents that a task turns into a batch of ids at once.
@@ -91,6 +91,10 @@ class Pieces(dict):
     def __init__(self, library: Tokenizer, remembered: int):
         self.library, self.model, self.shown = library, library.model, byte_characters()
         self.remembered, self.old = remembered, {}
+        self.tokenize, self.space = self.model.tokenize, self.shown[32]
+        spelt = {c: c.encode().decode("latin-1").translate(self.shown) for c in map(chr, range(0x530)) if LETTER.match(c)}
+        self.spell = spelt.__getitem__
+        self.packs = [Struct(f"<{n}I").pack for n in range(LONGEST)]
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece) or self.made(piece)
@@ -103,13 +107,15 @@ class Pieces(dict):
 
     def made(self, piece: str) -> bytes:
         word = piece[1:] if piece[0] == " " else piece
-        if word.isascii() and word.isalpha():  # straight to the library's model: nothing of a word needs to be cut
-            ids = [t.id for t in self.model.tokenize(word if word is piece else self.shown[32] + word)]
-        elif WORD.fullmatch(piece):
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+        try:  # a word goes straight to the library's model: nothing of it needs to be cut
+            shown = word if word.isascii() and word.isalpha() else "".join(map(self.spell, word))
+        except KeyError:
+            shown = ""
+        if shown:
+            ids = [t.id for t in self.tokenize(shown if word is piece else self.space + shown)]
         else:
             ids = self.library.encode(piece, add_special_tokens=False).ids
-        return pack(f"<{len(ids)}I", *ids)
+        return self.packs[len(ids)](*ids) if len(ids) < LONGEST else pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
