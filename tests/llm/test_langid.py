@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wardlight.llm import langid
 
@@ -128,3 +129,15 @@ def test_whole_query_equals_a_plain_version(spark):
         assert abs(got[i, text][1] - min(1, mean[:2].max())) < 1e-4
     bare = docs.withColumn("lang", langid.F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(bare, langid.train(bare)).collect()} == {"und"}
+
+
+def test_a_text_within_the_row_is_moved_once(spark):
+    docs = spark.createDataFrame([(1, "the and that", "en"), (2, None, None), (3, "la que de y", "es")], "doc_id long, text string, lang string")
+    model = langid.fit([(["the", "and", "that"], "en"), (["la", "que", "de"], "es")], steps=10)
+    whole = langid.identify(docs.select(F.struct("*").alias("row")), model, "row", "row.text")
+    want = {r.doc_id: (r.lang_pred, r.score, r.other) for r in langid.identify(docs, model).collect()}
+    assert {r.row.doc_id: (r.lang_pred, r.score, r.other) for r in whole.collect()} == want
+    node = whole._jdf.queryExecution().analyzed()
+    while "MapInArrow" not in node.nodeName():
+        node = node.children().head()
+    assert node.children().head().output().size() == 1

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -52,3 +53,20 @@ def test_rows(spark):
     back = pieces.decode_documents(spark.createDataFrame(got).union(spark.createDataFrame([(9, None, None)], "doc_id long, ids array<int>, decoded string")), PATH)
     assert sorted((str(r.doc_id), r.decoded) for r in back.collect()) == sorted([*((a, c) for a, _, c in want), ("9", "")])
     assert pieces.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_workers_keep_no_encoder_for_other_stages(spark):
+    docs = spark.range(64).selectExpr("id AS doc_id", "concat('the cat ', id) AS text").repartition(8)
+    assert pieces.encode_documents(docs, PATH).count() == 64
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(pieces._KEPT)] * batch.num_rows, pa.int64())})
+
+    assert {r.n for r in docs.select("doc_id").mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_remembered_units_are_small():
+    encoder = pieces.PrefixEncoder(ENCODER.vocab)
+    encoder.encode("some words of the text")
+    assert encoder.units and all(isinstance(ids, bytes) for ids in encoder.units.values())

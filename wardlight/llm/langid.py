@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -260,7 +261,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: ``id_col``, ``keep`` columns, ``lang_pred``, ``score``, ``other`` (part of the words in no language) and ``shares``, each language's part of them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    plain = docs.select(F.col(id_col).alias("_0"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep, 1)])
+    inside = text_col.startswith(f"{id_col}.")  # a field of the id: it is moved to Python once, not twice
+    text = [] if inside else [F.col(text_col).alias("_text")]
+    plain = docs.select(F.col(id_col).alias("_0"), *text, *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep, 1)])
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +272,8 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 names, scores, others, shares = [], [], [], []
-                lists = [words_of(t) for t in batch.column("_text").to_pylist()]
+                texts = pc.struct_field(batch.column("_0"), text_col[len(id_col) + 1 :].split(".")) if inside else batch.column("_text")
+                lists = [words_of(t) for t in texts.to_pylist()]
                 for post in crf.label(lists) if crf else [()] * len(lists):
                     if not len(post):
                         names.append("und")

@@ -20,12 +20,13 @@ import re
 from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from weakref import WeakKeyDictionary
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
@@ -115,8 +116,8 @@ class PrefixEncoder:
         while more := {i for i, (a, b) in vocab.splits.items() if i not in self.tied and (a in self.tied or b in self.tied)}:
             self.tied |= more
         self.size = {i: len(p) for i, p in vocab.pieces.items()}
-        self.units: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.units: dict[str, bytes] = {}  # ids as an array's bytes: half the room of tuples
+        self.older: dict[str, bytes] = {}
         self.shown = {i: p.replace(SPACE, " ").encode() for i, p in vocab.pieces.items()} | {i: bytes([b]) for b, i in enumerate(vocab.byte_ids)}
         self.shown |= dict.fromkeys(vocab.silent, b"") | {vocab.unknown: " ⁇ ".encode()}
 
@@ -201,9 +202,9 @@ class PrefixEncoder:
                 at -= size[token]
         return tuple(reversed(ids))
 
-    def _remember(self, text: str) -> tuple[int, ...]:
+    def _remember(self, text: str) -> bytes:
         """Ids of a unit; when the newer half of what is kept is full, the older half goes."""
-        ids = self.units.get(text) or self.older.get(text) or self.unit(text)
+        ids = self.units.get(text) or self.older.get(text) or array("i", self.unit(text)).tobytes()
         if len(text) < 64:
             if len(self.units) >= self.remembered // 2:
                 self.older, self.units = self.units, {}
@@ -218,7 +219,7 @@ class PrefixEncoder:
             found = list(map(self.units.get, parts))
             if None in found:
                 found = [known or self._remember(p) for p, known in zip(parts, found, strict=True)]
-            ids.extend(chain.from_iterable(found))
+            ids.frombytes(b"".join(found))
         ids.append(self.vocab.end)
         return ids
 
@@ -273,25 +274,24 @@ def _list_column(rows: list[array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-_KEPT: dict[int, PrefixEncoder] = {}
+#: By broadcast: a worker drops a broadcast at its first task without it, and the encoder, with all that it remembers, goes along.
+_KEPT: WeakKeyDictionary[Broadcast, PrefixEncoder] = WeakKeyDictionary()
 
 
-def _encoder(shared, key: int) -> PrefixEncoder:
-    """One encoder for each Python worker."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = PrefixEncoder(shared.value)
-    return _KEPT[key]
+def _encoder(shared: Broadcast) -> PrefixEncoder:
+    """One encoder for each Python worker, as long as its tasks use it."""
+    if shared not in _KEPT:
+        _KEPT[shared] = PrefixEncoder(shared.value)
+    return _KEPT[shared]
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``id_col`` and ``ids`` array<int> of every whole text; with ``with_text`` also ``decoded``, read back from the ids."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))  # its size is the model's
-    key = shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") and shared._jbroadcast is not None else id(shared)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, key)
+        encoder = _encoder(shared)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
@@ -308,11 +308,10 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and ``decoded`` of rows with id lists; a null list decodes to the empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
-    key = shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") and shared._jbroadcast is not None else id(shared)
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, key)
+        encoder = _encoder(shared)
         for batch in batches:
             texts = [encoder.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=[id_col, "decoded"])
