@@ -124,3 +124,14 @@ def test_words_are_spelt_letter_by_letter():
     assert "".join(map(pieces.spell, "ßж")) == "ÃŁÐ¶"
     for piece in ("word", " word", "ß", " Ж", " Größe", "ʰa", " ", "   ", " 12", "中文", " a²", "é" * 70):
         assert [np.frombuffer(pieces.made(piece), "<u4").tolist()] == library([piece])
+
+
+def test_frequent_pieces_outlast_rare_ones():
+    encoder = tokenfiles.Encoder(PATH, remembered=40)
+    made, counts = encoder.pieces.made, []
+    encoder.pieces.made = lambda piece: counts.append(piece) or made(piece)
+    often, rare = [" " + a + b for a in "abc" for b in "def"], [f" q{a}{b}{c}" for a in "rst" for b in "uvw" for c in "abcdefghijklmnopqrstuvwxyz"]
+    for piece in [*often, *often, *rare, *often]:
+        assert np.frombuffer(encoder.pieces[piece], "<u4").tolist() == library([piece])[0]
+    assert [counts.count(p) for p in often] == [1] * len(often)
+    assert len(encoder.pieces) <= 40 and len(encoder.pieces.old) <= 40

@@ -27,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from operator import attrgetter
 from struct import Struct, pack
 
 import numpy as np
@@ -49,6 +50,7 @@ PIECE = re.compile(rf" ?[{LETTERS}]++(?=[ .,\n])| ?[{LETTERS}0-9]++(?![^{MARKS}{
 LETTER = re.compile(f"[{LETTERS}]")
 #: Longest piece that is remembered.
 LONGEST = 64
+ID = attrgetter("id")
 #: Documents that a task turns into a batch of ids at once.
 STEP = 64
 
@@ -86,7 +88,7 @@ def byte_characters() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """Ids of pieces by the library; the last ``remembered`` and as many before them are kept."""
+    """Ids of pieces by the library: ``remembered`` of those met again, and as many met once; either part starts anew when it is full."""
 
     def __init__(self, library: Tokenizer, remembered: int):
         self.library, self.model, self.shown = library, library.model, byte_characters()
@@ -97,12 +99,17 @@ class Pieces(dict):
         self.packs = [Struct(f"<{n}I").pack for n in range(LONGEST)]
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece) or self.made(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= self.remembered:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
+        ids = self.old.pop(piece, None)
+        if ids is not None:  # met again: rare pieces that pass by don't drive it out
+            home = self
+        else:
+            ids = self.made(piece)
+            if len(piece) > LONGEST:
+                return ids
+            home = self.old
+        if len(home) >= self.remembered:
+            home.clear()
+        home[piece] = ids
         return ids
 
     def made(self, piece: str) -> bytes:
@@ -112,7 +119,7 @@ class Pieces(dict):
         except KeyError:
             shown = ""
         if shown:
-            ids = [t.id for t in self.tokenize(shown if word is piece else self.space + shown)]
+            ids = list(map(ID, self.tokenize(shown if word is piece else self.space + shown)))
         else:
             ids = self.library.encode(piece, add_special_tokens=False).ids
         return self.packs[len(ids)](*ids) if len(ids) < LONGEST else pack(f"<{len(ids)}I", *ids)
