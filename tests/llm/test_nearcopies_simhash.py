@@ -99,3 +99,41 @@ def test_hubs_of_one_crowd_are_gathered(spark):
     assert got == {(n, top[h]) for n, h in rows}
     twice = {(r.node, r.hub) for r in nc.gathered(met, 2).collect()}
     assert twice == {(n, top[top[h]]) for n, h in rows}
+
+
+def test_crowds_are_looked_up_by_few_rows_and_no_meeting_is_lost(spark, monkeypatch):
+    """Two crowds, families of six, lone texts: what meets in a bucket is tried as a pair, has a hub in common or is linked already."""
+    rng, texts = random.Random(14), []
+    for copies in (120, 120, *[6] * 8, *[1] * 20):
+        base = made(rng, 200)
+        for _ in range(copies):
+            words = list(base)
+            for k in rng.sample(range(200), rng.randrange(1, 5)):
+                words[k] = "changed%d" % rng.randrange(10**6)
+            texts.append(" ".join(words))
+    kept, tried = {}, set()
+    real, narrowed = nc.written, nc.plausible
+
+    def keeping(df, label):
+        kept[label] = real(df, label)
+        return kept[label]
+
+    def trying(pairs, nodes, least):
+        tried.update((r.a, r.b) for r in pairs.collect())
+        return narrowed(pairs, nodes, least)
+
+    monkeypatch.setattr(nc, "written", keeping)
+    monkeypatch.setattr(nc, "plausible", trying)
+    nc.near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()
+    buckets, hubs = {}, {}
+    for r in nc.postings(kept["near-nodes"]).collect():
+        buckets.setdefault(r.key, []).append(r.node)
+    for r in kept["near-members"].collect():
+        hubs.setdefault(r.node, set()).add(r.hub)
+    tied = {r.node: r.root for r in kept["near-tied"].collect()}
+    met = {(a, b) for nodes in map(sorted, buckets.values()) for k, b in enumerate(nodes) for a in nodes[:k]}
+    lost = [(a, b) for a, b in met if not hubs.get(a, set()) & hubs.get(b, set()) and (a, b) not in tried and tied.get(a, a) != tied.get(b, b)]
+    assert len(met) > 10_000 and not lost
+    crowded = sum(len(nodes) for nodes in buckets.values() if len(nodes) > nc.CROWD)
+    looked = sum(t.count() for t in kept.values() if {"node", "key"} <= set(t.columns) and "sketch" not in t.columns)
+    assert crowded > 60 * 240 and looked < 0.4 * crowded  # every posting of a crowd was looked up, and its hub by another look
